@@ -76,7 +76,7 @@ def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(ddl), timezone="UTC")
+    return to_arrow_schema(_parse_datatype_string(ddl), timestamp_utc=True)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -149,3 +149,36 @@ def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its file system, as pyarrow.fs.FileSystem.from_uri takes it."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+class Files:
+    """Files in the shared folder, opened from executors through the file system of their URI."""
+
+    def __init__(self, folder: str):
+        from pyarrow.fs import FileSystem
+
+        self.fs, self.root = FileSystem.from_uri(folder)
+        self.folder = folder
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def create(self, name: str):
+        self.fs.create_dir(self.root, recursive=True)
+        return self.fs.open_output_stream(self.path(name), compression=None)
+
+    def open(self, name: str):
+        return self.fs.open_input_file(self.path(name))
+
+
+def attempt_name(kind: str) -> str:
+    """A file name that no other attempt of the task uses, so that retries and speculation never share a file."""
+    return f"{kind}-{uuid.uuid4().hex}"
