@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, token_files
 
 
 def queries() -> dict:
-    return {"op9_bpe": bpe.op9}
+    return {
+        "op3_token_files": token_files.op3,
+        "op9_bpe": bpe.op9,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
