@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, token_files
+from . import bpe, language_id, token_files
 
 
 def queries() -> dict:
     return {
+        "op1_language_id": language_id.op1,
         "op3_token_files": token_files.op3,
         "op9_bpe": bpe.op9,
     }
