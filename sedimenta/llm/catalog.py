@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, token_files
+from . import bpe, language_id, token_files, warc
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1,
         "op3_token_files": token_files.op3,
+        "op4_warc": warc.op4,
         "op9_bpe": bpe.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_warc": warc.OP4_SQL}
