@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, token_files, warc
+from . import bpe, decontaminate, language_id, token_files, warc
 
 
 def queries() -> dict:
@@ -10,9 +10,10 @@ def queries() -> dict:
         "op1_language_id": language_id.op1,
         "op3_token_files": token_files.op3,
         "op4_warc": warc.op4,
+        "op6_decontaminate": decontaminate.op6,
         "op9_bpe": bpe.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op6_decontaminate": decontaminate.OP6_SQL}
