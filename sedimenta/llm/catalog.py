@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, token_files, url_filter, warc
+from . import bpe, decontaminate, language_id, substring_dedup, token_files, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,10 +11,11 @@ def queries() -> dict:
         "op3_token_files": token_files.op3,
         "op4_warc": warc.op4,
         "op6_decontaminate": decontaminate.op6,
+        "op7_substring_dedup": substring_dedup.op7,
         "op8_url_filter": url_filter.op8,
         "op9_bpe": bpe.op9,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op8_url_filter": url_filter.OP8_SQL}
+    return {"op4_warc": warc.OP4_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op8_url_filter": url_filter.OP8_SQL}
