@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, substring_dedup, token_files, url_filter, warc
+from . import bpe, decontaminate, jaccard_join, language_id, substring_dedup, token_files, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_language_id": language_id.op1,
+        "op2_jaccard_join": jaccard_join.op2,
         "op3_token_files": token_files.op3,
         "op4_warc": warc.op4,
         "op6_decontaminate": decontaminate.op6,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.OP4_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op8_url_filter": url_filter.OP8_SQL}
+    return {"op2_jaccard_join": jaccard_join.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op8_url_filter": url_filter.OP8_SQL}
