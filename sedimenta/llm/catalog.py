@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, jaccard_join, language_id, substring_dedup, token_files, url_filter, warc
+from . import bpe, decontaminate, embedding_dedup, jaccard_join, language_id, substring_dedup, token_files, url_filter, warc
 
 
 def queries() -> dict:
@@ -15,8 +15,9 @@ def queries() -> dict:
         "op7_substring_dedup": substring_dedup.op7,
         "op8_url_filter": url_filter.op8,
         "op9_bpe": bpe.op9,
+        "op10_embedding_dedup": embedding_dedup.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": jaccard_join.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op8_url_filter": url_filter.OP8_SQL}
+    return {"op2_jaccard_join": jaccard_join.OP2_SQL, "op4_warc": warc.OP4_SQL, "op6_decontaminate": decontaminate.OP6_SQL, "op7_substring_dedup": substring_dedup.OP7_SQL, "op8_url_filter": url_filter.OP8_SQL, "op10_embedding_dedup": embedding_dedup.OP10_SQL}
