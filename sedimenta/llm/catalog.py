@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, embedding_dedup, jaccard_join, language_id, substring_dedup, token_files, url_filter, warc
+from . import bpe, decontaminate, embedding_dedup, jaccard_join, language_id, lm_score, substring_dedup, token_files, url_filter, warc
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_jaccard_join": jaccard_join.op2,
         "op3_token_files": token_files.op3,
         "op4_warc": warc.op4,
+        "op5_lm_score": lm_score.op5,
         "op6_decontaminate": decontaminate.op6,
         "op7_substring_dedup": substring_dedup.op7,
         "op8_url_filter": url_filter.op8,
