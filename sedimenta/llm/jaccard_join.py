@@ -227,6 +227,15 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     return out.select("doc_id", F.coalesce("component", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that stand for their class: those with its smallest id, and all rows
+    with a null id. Of rows that repeat an id, one stays."""
+    gone = written(join(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
+    again = written(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again"), "jaccard-again")
+    kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    return kept.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col]))
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 

@@ -7,7 +7,10 @@ language's prototype is the bundle of its texts, a text's language that of the p
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +23,8 @@ DIMENSIONS, GRAM, SYMBOLS, SEED = 2048, 3, 128, 20240229
 #: Letters that are worked on at once, and n-gram kinds whose vectors are made at once.
 SLAB, KINDS = 1 << 20, 4096
 UNKNOWN = "und"
+#: The score below which a text counts as no known language where documents are kept or not.
+LEAST = 0.05
 
 
 def symbol_table() -> np.ndarray:
@@ -97,12 +102,17 @@ class Profiles:
             yield range(first, len(texts)), self.bundle(rows, codes, len(texts) - first)
 
 
+@lru_cache(maxsize=1)
+def worker_profiles() -> Profiles:
+    return Profiles()
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """The prototype of each language: the bundle of all its labelled texts. Rows with a null text or language are left
     out. Sums are of integers, so the result doesn't hang on the order of rows. The driver gets one vector a language."""
 
     def run(batches):
-        profiles, sums = Profiles(), {}
+        profiles, sums = worker_profiles(), {}
         for texts, langs in slices(batches):
             names = sorted(set(langs))
             codes = [(names.index(l), c) for t, l in zip(texts, langs, strict=True) for c in profiles.codes(t)]
@@ -120,6 +130,21 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
     return {k: v for k, v in sorted(out.items()) if v.any()}
 
 
+def unit_rows(prototypes: dict[str, np.ndarray]) -> np.ndarray:
+    return np.array([x / np.linalg.norm(x) for x in prototypes.values()]).reshape(len(prototypes), DIMENSIONS)
+
+
+def nearest(x: np.ndarray, names: list[str], rows: np.ndarray) -> tuple[list[str], list[float]]:
+    """The language and cosine of each profile."""
+    norm = np.sqrt((x * x).sum(1))
+    if not names:
+        return [UNKNOWN] * len(x), [0.0] * len(x)
+    cosines = (x @ rows.T) / np.where(norm, norm, 1)[:, None]
+    best = cosines.argmax(1)
+    top = cosines[np.arange(len(x)), best]
+    return [names[k] if size else UNKNOWN for k, size in zip(best.tolist(), norm.tolist(), strict=True)], np.where(norm > 0, top.clip(0, 1), 0).tolist()
+
+
 def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score) for every row; score is the cosine with the prototype, 0 to 1.
 
@@ -127,21 +152,16 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     cosines, the language first in the alphabet wins. Repeated rows, and a null id, each give a row. Other columns
     aren't read. Long texts are worked through in slabs, whole.
     """
-    names = list(prototypes)
-    rows = np.array([prototypes[n] / np.linalg.norm(prototypes[n]) for n in names]).reshape(len(names), DIMENSIONS)
+    names, rows = list(prototypes), unit_rows(prototypes)
 
     def make():
-        profiles = Profiles()
+        profiles = worker_profiles()
 
         def step(columns):
             langs, scores = [], []
             for _, x in profiles.of(columns[1]):
-                norm = np.sqrt((x * x).sum(1))
-                cosines = (x @ rows.T) / np.where(norm, norm, 1)[:, None] if names else np.zeros((len(x), 1))
-                best = cosines.argmax(1)
-                for k, c, size in zip(best.tolist(), cosines[np.arange(len(x)), best].tolist(), norm.tolist(), strict=True):
-                    langs.append(names[k] if names and size else UNKNOWN)
-                    scores.append(min(1.0, max(0.0, c)) if names and size else 0.0)
+                for out, more in zip((langs, scores), nearest(x, names, rows), strict=True):
+                    out += more
             return [columns[0], langs, scores]
 
         return step
@@ -150,6 +170,25 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     return map_rows(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = LEAST, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a learned language with a score of at least least.
+    Null and letterless texts go. Rows are judged where they are; nothing is shuffled."""
+    names = list(prototypes)
+
+    @F.pandas_udf("boolean")
+    def known(text: pd.Series) -> pd.Series:
+        out = np.zeros(len(text), bool)
+        profiles, at = worker_profiles(), 0
+        for _, x in profiles.of(text.tolist()):
+            langs, scores = nearest(x, names, rows)
+            out[at : at + len(x)] = [lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)]
+            at += len(x)
+        return pd.Series(out)
+
+    rows = unit_rows(prototypes)
+    return docs.where(known(F.col(text_col)))
+
+
 def held_out(id_col: str = "doc_id"):
     """True for the quarter of documents that is not learned from; a null id is learned from."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -53,16 +53,16 @@ def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def step(columns):
             n, sums, marks = [], [], []
-            for doc_id, text in zip(*columns, strict=True):
+            for doc_id, text, _ in zip(*columns, strict=True):
                 w = words_of(text)
                 n.append(len(w))
                 sums.append(hashlib.sha256(b" ".join(w)).digest())
                 marks.append(np.unique(window_marks(hashes(w))).view(np.int64) if doc_id is not None and len(w) >= SPAN else [])
-            return [columns[0], n, sums, marks]
+            return [columns[0], columns[2], n, sums, marks]
 
         return step
 
-    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), make, "doc_id long, n_words long, sha binary, marks array<long>")
+    return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col)), make, "doc_id long, text_hash long, n_words long, sha binary, marks array<long>")
 
 
 def confirm(texts: DataFrame) -> DataFrame:
@@ -186,7 +186,7 @@ def bucket_of(col: str, buckets: int):
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sha, n_words, n_removed, kept) for every row of docs; kept is null where nothing goes.
+    """(doc_id, text_hash, sha, n_words, n_removed, kept) for every row of docs; kept is null where nothing goes.
 
     Words are runs without ASCII white space. A word goes if it lies in a window of 50 words that also starts in a
     document with a smaller doc_id; windows are those of the input. sha is the SHA-256 of the words joined by one space.
@@ -210,7 +210,18 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     cut = written(stream(dealt.join(parts.select("seg", "owner", "words"), "seg"), texts, buckets), "repeat-cuts")
     cut = cut.dropDuplicates(["doc_id", "sha"]).withColumnRenamed("doc_id", "cut_id").withColumnRenamed("sha", "cut_sha").withColumnRenamed("n_removed", "cut_n").withColumnRenamed("kept", "cut_kept")
     out = found.join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.col("sha") == F.col("cut_sha")), "left")
-    return out.select("doc_id", "sha", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("cut_n", F.lit(0))).cast("long").alias("n_removed"), F.when(F.col("copy"), "").otherwise(F.col("cut_kept")).alias("kept"))
+    return out.select("doc_id", "text_hash", "sha", "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.coalesce("cut_n", F.lit(0))).cast("long").alias("n_removed"), F.when(F.col("copy"), "").otherwise(F.col("cut_kept")).alias("kept"))
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, less the repeated words: a text that loses words is its kept words joined
+    by one space, one that loses all goes. Other texts stay as they are; n_chars, if there is such a column, follows."""
+    cut = repeats(docs, id_col, text_col).where("n_removed > 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("kept").alias("__kept")).dropDuplicates(["__id", "__hash"])
+    out = docs.join(cut, (F.col(id_col) == F.col("__id")) & (F.xxhash64(text_col) == F.col("__hash")), "left").where("__kept is null or __kept <> ''")
+    changed = {text_col: F.coalesce("__kept", text_col)}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(F.col("__kept").isNull(), F.col("n_chars")).otherwise(F.length("__kept")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
