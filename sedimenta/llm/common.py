@@ -114,16 +114,21 @@ class WordHashes:
 
 
 def rolling(words: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """A 64-bit hash for each run of k consecutive word hashes."""
-    n = len(words) - k + 1
-    if n <= 0:
+    """A 64-bit hash for each run of k consecutive word hashes: a polynomial, built up from runs of powers of two."""
+    n, base = len(words) - k + 1, (0x9E3779B97F4A7C15 + 2 * seed) % (1 << 64)
+    if n <= 0 or k <= 0:
         return np.empty(0, np.uint64)
-    step = np.uint64(0x9E3779B97F4A7C15 + 2 * seed)
-    out = np.full(n, seed, np.uint64)
-    for i in range(k):
-        out *= step
-        out += words[i : i + n]
-    return mix64(out)
+    power, size, out, done = words.astype(np.uint64), 1, None, 0
+    while True:
+        if k & size:
+            part = power[done : done + n]
+            out = part.copy() if out is None else out * np.uint64(pow(base, size, 1 << 64)) + part
+            done += size
+        if 2 * size > k:
+            break
+        power = power[:-size] * np.uint64(pow(base, size, 1 << 64)) + power[size:]
+        size *= 2
+    return mix64(out + np.uint64(seed))
 
 
 def components(edges: DataFrame, name: str, rounds: int = 60) -> DataFrame:

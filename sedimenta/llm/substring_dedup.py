@@ -7,14 +7,13 @@
 3. compile: the owned windows of a document join into passages, cut into segments of limited length. Phrases of 10
    words every 41 words of a segment make up the automata: any 50-word window of a segment holds one of them whole.
 4. stream: documents are dealt out in buckets; each bucket gets the segments whose marks its documents have, compiles
-   its own Aho-Corasick automaton, and runs its documents through it. Each phrase that is met lines a document up with
-   a segment; all runs of 50 equal words along that line are covered by windows of the owner.
+   its own Aho-Corasick automaton, and runs its documents through it. Around each phrase that is met, the document's
+   windows are looked up by their 128-bit hashes among those of the segments.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -109,46 +108,55 @@ def hash_of(text: str) -> str:
 
 
 class Automaton:
-    """The phrases of a bucket's segments, and the documents' words that their windows cover."""
+    """The phrases of a bucket's segments with the hashes of their windows: finds the documents' words that they cover."""
 
     def __init__(self, parts: list[tuple[int, str]], hashes: WordHashes):
         import ahocorasick
 
-        self.owners, self.hashes, phrases = [], [], defaultdict(list)
+        self.automaton, words, ends, owners = ahocorasick.Automaton(), [], [], []
         for owner, text in parts:
             w = text.encode().split()
             for at in range(0, len(w) - PHRASE + 1, STRIDE):
-                phrases[b" ".join([b"", *w[at : at + PHRASE], b""]).decode("latin-1")].append((len(self.owners), at))
-            self.owners.append(owner)
-            self.hashes.append(hashes(w))
-        self.automaton = ahocorasick.Automaton()
-        for phrase, where in phrases.items():
-            self.automaton.add_word(phrase, (len(phrase), where))
-        if phrases:
-            self.automaton.make_automaton()
-        self.empty = not phrases
+                phrase = b" ".join([b"", *w[at : at + PHRASE], b""]).decode("latin-1")
+                self.automaton.add_word(phrase, len(phrase))
+            words.append(hashes(w))
+            owners += [owner] * (len(w) - SPAN + 1) + [0] * (SPAN - 1)
+            ends.append(len(owners))
+        self.empty = not parts
+        if self.empty:
+            return
+        self.automaton.make_automaton()
+        # All segments' windows at once, less those that run over the end of a segment.
+        one, two = (rolling(np.concatenate(words), SPAN, s) for s in (0, 1))
+        inside = np.ones(len(owners), bool)
+        for end in ends:
+            inside[end - SPAN + 1 : end] = False
+        inside = inside[: len(one)]
+        order = np.argsort(one[inside], kind="stable")
+        self.one, self.two, self.owner = one[inside][order], two[inside][order], np.array(owners)[: len(one)][inside][order]
 
     def covered(self, doc_id: int, words: list[bytes], h: np.ndarray) -> np.ndarray:
         out = np.zeros(len(words), bool)
         if self.empty or len(words) < SPAN:
             return out
         hay = b" ".join([b"", *words, b""]).decode("latin-1")
-        begins, seen = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))), set()
-        for end, (n, where) in self.automaton.iter(hay):
-            place = int(np.searchsorted(begins, end - n + 1))
-            for seg, at in where:
-                line = place - at
-                if self.owners[seg] >= doc_id or (seg, line) in seen:
-                    continue
-                seen.add((seg, line))
-                s = self.hashes[seg]
-                first, last = max(0, line), min(len(h), line + len(s))
-                same = np.concatenate(([0], (h[first:last] == s[first - line : last - line]).view(np.int8), [0]))
-                turns = np.flatnonzero(np.diff(same))
-                for a, b in turns.reshape(-1, 2).tolist():
-                    if b - a >= SPAN:
-                        out[first + a : first + b] = True
-        return out
+        spots = [end - n + 1 for end, n in self.automaton.iter(hay)]
+        if not spots:
+            return out
+        begins = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
+        places = np.searchsorted(begins, spots)
+        # A window that repeats a segment's holds one of its phrases whole.
+        near = np.zeros(len(words) + 1, np.int64)
+        np.add.at(near, np.maximum(places - (SPAN - PHRASE), 0), 1)
+        np.add.at(near, places + 1, -1)
+        starts = np.flatnonzero(np.cumsum(near)[: len(words) - SPAN + 1])
+        one, two = rolling(h, SPAN, 0)[starts], rolling(h, SPAN, 1)[starts]
+        at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
+        starts = starts[(self.one[at] == one) & (self.two[at] == two) & (self.owner[at] < doc_id)]
+        cover = np.zeros(len(words) + 1, np.int64)
+        np.add.at(cover, starts, 1)
+        np.add.at(cover, starts + SPAN, -1)
+        return np.cumsum(cover)[:-1] > 0
 
 
 def stream(parts: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
