@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,9 @@ from .pieces import Vocabulary, default_vocabulary
 #: Fixed value: what a token file starts with.
 MAGIC = b"RANKVB1\n"
 #: Tokens in a block, and distinct pieces that a worker keeps encoded.
-BLOCK, PIECES = 1 << 16, 400_000
+BLOCK, PIECES = 1 << 16, 900_000
+#: New pieces that go through the library as one text.
+JOINED = 2000
 END = 2
 
 _LENGTHS = (np.arange(256)[:, None] >> np.arange(0, 8, 2)) & 3
@@ -64,7 +67,8 @@ class LibraryEncoder:
         self.lib.no_padding()
         self.kind = np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32
         try:
-            self.pieces = Vocabulary(path).pieces
+            vocabulary = Vocabulary(path)
+            self.pieces, self.sizes = vocabulary.pieces, np.array([len(t) for t in vocabulary.bytes])
         except (ValueError, KeyError):
             self.pieces = None
         self.known: dict[str, bytes] = {}
@@ -72,18 +76,44 @@ class LibraryEncoder:
     def _through(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Pieces that are a space and letters stay pieces when joined, so they go through the library in one text;
+        the ids of each end where its bytes do."""
+        lined, rest = [], []
+        for p in new:
+            (lined if p[0] == " " and p[1:].isalpha() else rest).append(p)
+        self.known.update(zip(rest, self._through(rest), strict=True))
+        if lined:
+            raw = b"".join(self._through(["".join(lined[at : at + JOINED]) for at in range(0, len(lined), JOINED)]))
+            ends = np.cumsum([len(p.encode()) for p in lined])
+            after = np.cumsum(self.sizes[np.frombuffer(raw, self.kind)])
+            cuts = np.searchsorted(after, ends) + 1
+            if (after[cuts - 1] != ends).any():
+                self.known.update(zip(lined, self._through(lined), strict=True))
+                return
+            width, at = np.dtype(self.kind).itemsize, 0
+            for p, cut in zip(lined, (cuts * width).tolist(), strict=True):
+                self.known[p] = raw[at:cut]
+                at = cut
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if self.pieces is None:
             return self._through(texts)
         split = [self.pieces(t) for t in texts]
         distinct = set().union(*split) if split else set()
-        if len(self.known) + len(distinct) > PIECES:
-            self.known.clear()
-        new = list(distinct.difference(self.known))
-        if new:
-            self.known.update(zip(new, self._through(new), strict=True))
         known = self.known
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+        if len(known) + len(distinct) > PIECES:  # those in use stay
+            known = self.known = {p: known[p] for p in distinct if p in known}
+        new = list(distinct.difference(known))
+        if new:
+            self._learn(new)
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> LibraryEncoder:
+    """One for all tasks of a worker: what one task has encoded, the next knows."""
+    return LibraryEncoder(path)
 
 
 class _Writer:
@@ -140,7 +170,7 @@ def encode_table(docs: DataFrame, id_col: str, text_col: str, path: str, end: in
     def make():
         from pyspark import TaskContext
 
-        coder, at = LibraryEncoder(path), [TaskContext.get().partitionId() << 33]
+        coder, at = worker_encoder(path), [TaskContext.get().partitionId() << 33]
         last = np.array([end], coder.kind).tobytes()
 
         def step(columns):
