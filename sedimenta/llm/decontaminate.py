@@ -30,7 +30,7 @@ def words(text: Column) -> Column:
 
 def _runs(n: int, kind: int) -> str:
     """SQL: hash and place of every run of n words of the column w."""
-    taken = ", ".join(f"w[i + {j}]" for j in range(n))
+    taken = ", ".join(f"get(w, i + {j})" for j in range(n))
     return f"transform(sequence(0, size(w) - {n}), i -> shiftleft(xxhash64({kind}, {taken}) & {(1 << 35) - 1}L, {PLACE}) | i)"
 
 
