@@ -8,23 +8,24 @@ path, so a model is a table: log10 probability of each (context, byte) that occu
 
 The counts of (context, byte) over all training documents are the whole statistics. Nodes of two bytes of context or
 more lie within the rows of one pair of last bytes and are worked out there; the 256 * 255 nodes above them go through
-the driver. The HOT most frequent entries of the byte table and of the word table are broadcast (bounded); entries
-beyond are joined by shuffle, so each text is scored on all of the model.
+the driver. The HOT most frequent entries of the byte table and of the word table go to every worker, by files in the
+shared folder (bounded); entries beyond are joined by shuffle, so each text is scored on all of the model.
 """
 
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, slices, written
+from .common import Files, WordHashes, qualified, scratch, slices, written
 
 DEPTH, END = 4, 0xFF
-#: Entries of each table that are broadcast (16 bytes each); counts a task holds before it passes them on.
+#: Entries of each table that every worker holds (16 bytes each); counts a task holds before it passes them on.
 HOT, HELD = 1 << 20, 1 << 21
 #: The baseline's pseudo-count.
 ALPHA = 0.1
@@ -205,9 +206,32 @@ def byte_model(counts: DataFrame) -> DataFrame:
     return dealt.mapInArrow(down, "key long, n long, value double")
 
 
-def _hot(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    rows = table.orderBy(F.desc("n"), "key").select("key", "value").limit(HOT).toPandas()
-    keys, values = rows["key"].to_numpy(np.int64), rows["value"].to_numpy(np.float64)
+def hot_table(table: DataFrame, name: str) -> str:
+    """Writes (key, value) of the entries with the highest n, HOT at most, to the shared folder; gives the folder.
+
+    Entries are cut by eighths of a power of two of n, so no order is needed and nothing passes through the driver but
+    the number of entries in each step."""
+    step = F.floor(F.log2(F.col("n") + 1) * 8).cast("int")
+    sizes = sorted(table.groupBy(step.alias("step")).agg(F.count("*").alias("entries")).collect(), key=lambda r: -r.step)  # at most 8 * 64
+    least, held = 1 << 30, 0
+    for r in sizes:
+        held += r.entries
+        if held > HOT:
+            break
+        least = r.step
+    path = scratch(table.sparkSession, name)
+    table.where(step >= least).select("key", "value").coalesce(4).write.parquet(path)
+    return qualified(table.sparkSession, path)
+
+
+@lru_cache(maxsize=2)
+def read_hot(folder: str) -> tuple[np.ndarray, np.ndarray]:
+    """The entries by rising key, once a worker."""
+    import pyarrow.parquet as pq
+
+    files = Files(folder)
+    rows = pq.read_table(files.root, filesystem=files.fs, columns=["key", "value"])
+    keys, values = rows["key"].to_numpy(), rows["value"].to_numpy()
     order = np.argsort(keys)
     return keys[order], values[order]
 
@@ -220,7 +244,6 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     row and count as often. Without training texts every decision is even and words are unknown. Other columns aren't
     read. Texts are scored whole.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(train, F.lit(True)).alias("train"))
     counts = written(count(rows), "lm-counts")
     model = written(byte_model(counts.where("kind = 0")), "lm-bytes")
@@ -228,12 +251,12 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
     over = tokens + ALPHA * (kinds + 1)
     word_model = counts.where("kind = 1").select("key", "n", F.log10((F.col("n") + ALPHA) / over).alias("value"))
     unknown = math.log10(ALPHA / over)
-    hot = spark.sparkContext.broadcast((_hot(model), _hot(word_model)))  # HOT entries each
+    hot = [hot_table(model, "lm-hot-bytes"), hot_table(word_model, "lm-hot-words")]
 
     def run(batches):
         from pyspark import TaskContext
 
-        tables, hashes, uid = hot.value, WordHashes(), TaskContext.get().partitionId() << 33
+        tables, hashes, uid = [read_hot(h) for h in hot], WordHashes(), TaskContext.get().partitionId() << 33
         names = ["uid", "doc_id", "n_tokens", "n_known", "base", "score", "kind", "key", "n"]
         for doc_ids, texts, _ in slices(batches):
             size = len(texts)
