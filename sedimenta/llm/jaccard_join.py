@@ -28,7 +28,7 @@ BANDS, ROWS = 36, 5
 #: Values compared before each look at the posterior, and the probability below which a pair is dropped.
 STEP, TOLERANCE = 36, 1e-9
 #: Documents and shingles aimed at in a block.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 256_000
+BLOCK_DOCS, BLOCK_SHINGLES = 1024, 400_000
 
 _SEEDS = mix64(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64))
 _MULTIPLY, _ADD = _SEEDS[: BANDS * ROWS] | np.uint64(1), _SEEDS[BANDS * ROWS :]
@@ -206,8 +206,12 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     keys = written(reps.select("doc_id", "size", F.explode("bands").alias("key")), "jaccard-keys")
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-buckets")
     live = written(keys.join(shared, "key"), "jaccard-live")
-    home = live.groupBy("doc_id").agg(F.max(F.struct("n", "key")).alias("best"), F.max("size").alias("size")).select("doc_id", "size", F.col("best.key").alias("home"))
-    home = written(home, "jaccard-homes")
+    # A document's home is its largest bucket; then the largest home among those it shares a bucket with, so that a
+    # large group comes together in few homes.
+    best = lambda rows, by, *more: rows.groupBy(by).agg(F.max(F.struct("n", "home")).alias("best"), *more).select(by, F.col("best.n").alias("n"), F.col("best.home").alias("home"), *["size"][: len(more)])
+    first = written(best(live.withColumnRenamed("key", "home"), "doc_id"), "jaccard-homes")
+    near = written(best(live.select("doc_id", "key").join(first, "doc_id"), "key"), "jaccard-homes")
+    home = written(best(live.select("doc_id", "size", "key").join(near, "key"), "doc_id", F.max("size").alias("size")), "jaccard-homes")
     cells = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("cells"))
     member = home.join(written(cells, "jaccard-cells"), "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "cells")).alias("block"))
     member = written(member, "jaccard-members")
@@ -215,7 +219,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     pairs = touched.withColumnRenamed("block", "a").join(touched.withColumnRenamed("block", "b"), "key").where("a <= b").select("a", "b").distinct()
     sides = written(pairs.select("a", "b", F.explode(F.expr("if(a = b, array(struct(0 as side, a as block)), array(struct(0 as side, a as block), struct(1 as side, b as block)))")).alias("s")).select("a", "b", "s.side", "s.block"), "jaccard-pairs")
     # Without partners in any bucket, a document's text isn't needed again.
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(member, "doc_id")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(member.hint("merge"), "doc_id")
     texts = written(texts.join(reps.select("doc_id", "digest", "copies"), "doc_id"), "jaccard-texts")
     rows = sides.join(texts, "block").select("a", "b", "side", "doc_id", "copies", "digest", "text")
     rows = rows.repartition("a", "b").sortWithinPartitions("a", "b")
