@@ -154,7 +154,7 @@ class TrieEncoder:
         if new:
             self.learn(new)
         words = self.words
-        return [b"".join([words[p] for p in pieces]) for pieces in split]
+        return [b"".join(map(words.__getitem__, pieces)) for pieces in split]
 
     def decode(self, ids: bytes) -> str:
         tokens = self.v.bytes
