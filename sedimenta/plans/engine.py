@@ -13,7 +13,7 @@ from ..functions.text import clean_inline
 from ..operators import analysis, answer, dense, enrich, evaluate, fusion, graph, parsing, sparse
 from ..options import Options
 from ..sources import files
-from ..sources.store import Store
+from ..sources.store import Store, reused
 
 MODES = ("dense", "bm25", "bm25_baseline", "graph", "hybrid")
 
@@ -117,7 +117,8 @@ class Engine:
         """(analysed queries, ranked chunks, facts)."""
         if retrieval not in MODES[:2] + MODES[3:]:
             retrieval = "hybrid"
-        asked, chunks = self.analyze(queries), self._table("chunks")
+        # Kept: plans below use the analysed questions several times, and their expressions are large.
+        asked, chunks = reused(self.analyze(queries)), self._table("chunks")
         nodes, edges, links = (self._table(f"graph_{t}") for t in ("nodes", "edges", "links"))
         vectors = self._table("vectors") if retrieval in ("dense", "hybrid") else None
         hits = candidates(asked, chunks, vectors, nodes, edges, links, self.embedder, self.options, retrieval)
