@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.entities import Dictionary, matches
+from ..functions.entities import FIELDS, Dictionary, matches
 from ..functions.scalar import uuid5
 from ..functions.text import clean_inline
 from ..operators import analysis, answer, dense, enrich, evaluate, fusion, graph, parsing, sparse
@@ -26,6 +26,23 @@ class NotFound(LookupError):
     """No such question set or run."""
 
 
+def admitted(filters: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(g, chunk_id): the chunks that each filter admits. filters: (g, filters), one row a distinct filter.
+
+    A chunk passes if it shares a value in every field that the filter names, so tags join tags and fields are counted;
+    no filter meets a chunk that it shares nothing with, but the empty filter, which admits all."""
+    tags = lambda rows, col, *keep: rows.select(*keep, F.explode(F.flatten(F.array(*[_tags(F.col(f"{col}.{f}"), f) for f in FIELDS]))).alias("tag"))
+    named = filters.select("g", "filters", sum(((F.size(f"filters.{f}") > 0).cast("int") for f in FIELDS), F.lit(0)).alias("fields"))
+    met = tags(chunks, "metadata", "chunk_id").join(tags(named, "filters", "g", "fields"), "tag")
+    some = met.groupBy("g", "chunk_id", "fields").agg(F.count_distinct("tag.field").alias("n")).where("n = fields").select("g", "chunk_id")
+    free = named.where("fields = 0").select("g").distinct()  # at most one row
+    return some.union(free.crossJoin(chunks.select("chunk_id")).select("g", "chunk_id"))
+
+
+def _tags(values, field: str):
+    return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+
+
 def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, nodes: DataFrame, edges: DataFrame, links: DataFrame, embedder, options: Options, retrieval: str) -> DataFrame:
     """(qid, chunk_id, source, rank, score) of the lists that the retrieval mode asks for. Dense and sparse lists are
     filtered before their cut, the graph's isn't. chunks needs a numeric key n for the block search."""
@@ -34,10 +51,10 @@ def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None,
     parts = []
     if retrieval in ("dense", "hybrid"):
         asked = queries.select("qid", dense.embed(F.col("rewritten_query"), embedder).alias("v"))
-        # Queries with a filter may lose hits to it, so the search goes over the chunks each filter admits.
-        fits = F.to_json("filters").alias("g")
-        groups = allowed.select("qid", fits, "filters")
-        rows = vectors.join(keys, "chunk_id").join(F.broadcast(groups.select("g", "filters").distinct()), matches(F.col("metadata"), F.col("filters"))) if vectors is not None else None
+        # A query searches the chunks that its filter admits; queries with equal filters share them.
+        groups = allowed.select("qid", F.to_json("filters").alias("g"), "filters")
+        fits = admitted(groups.select("g", "filters").dropDuplicates(["g"]), chunks)
+        rows = vectors.join(keys.select("n", "chunk_id"), "chunk_id").join(fits, "chunk_id")
         hits = dense.cosine_topk(rows.select(F.col("n").alias("id"), "v", "g"), asked.join(groups.select("qid", "g"), "qid"), options.dense_candidate_count, group=True)
         parts.append(hits.join(keys.select(F.col("n").alias("id"), "chunk_id"), "id").select("qid", "chunk_id", F.lit("dense").alias("source"), "rank", "score"))
     if retrieval in ("bm25", "hybrid"):

@@ -5,6 +5,8 @@ import sys
 import pytest
 from sedimenta.functions.entities import Dictionary
 from sedimenta.options import Options
+from pyspark.errors import PySparkException
+from sedimenta.plans import providers
 from sedimenta.plans.engine import Engine, MissingIndex, NotFound
 from sedimenta.sources.store import Store
 from sedimenta.streaming import ingest as stream
@@ -45,6 +47,24 @@ def test_graph(engine, spark):
     assert row.ranked_sources[0].endswith("pageId=1") and "->" in row.answer
 
 
+def test_providers(engine, spark):
+    def complete(system, user):
+        if "JSON" in system:
+            return '{"query_mode": "graph_first", "confidence": 0.9, "reason": "relation", "filters": {"os_tags": ["linux", ""], "products": "x"}}' if "linux" in user else "no json"
+        if "ldap" in user:
+            raise RuntimeError("down")
+        return "made up"
+
+    e = Engine(spark, engine.home, generator=providers.generator(complete), router=providers.router(complete))
+    asked = spark.createDataFrame([(1, "архитектура linux и windows"), (2, "порт ldap 389")], "qid long, question string")
+    seen = {r.qid: r for r in e.analyze(asked).collect()}
+    assert seen[1].query_mode == "graph_first" and seen[1].routing_reason == "relation" and seen[2].routing_reason == "heuristic_fallback"
+    got = {r.qid: r.answer for r in e.query(asked, "bm25").collect()}
+    assert got[1] == "made up" and got[2].startswith("Переписанный запрос")
+    with pytest.raises(PySparkException, match="three characters"):
+        e.analyze(spark.createDataFrame([(1, "ab")], "qid long, question string")).collect()
+
+
 def test_ingest_again_changes_nothing(engine):
     before = engine._table("vectors").count()
     assert engine.ingest(engine.pages)["chunks"] == before == engine._table("vectors").count()
