@@ -28,9 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return held.get().rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def discard_scratch(spark: SparkSession) -> int:
+    """Deletes what this driver's operators have left in the shared folder; gives the number of paths. For when results
+    are saved elsewhere: frames that operators returned read these tables."""
+    jvm, gone = spark.sparkContext._jvm, 0
+    while _MADE:
+        p = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+    return gone
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
