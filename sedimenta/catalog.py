@@ -6,8 +6,6 @@ events for runs. Every query covers its whole tables; limits are only those of t
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -151,7 +149,7 @@ _FAMILY_TITLES = ("Архитектура ", "Обзорная информац
 
 @query("doc_family", "SELECT page_id, ['architecture', 'product_matrix', 'pkcs11_objects', 'storage', 'recommendations', 'pcsc', 'general'][page_id % 7 + 1] AS family FROM pages")
 def doc_family(spark, d):
-    title = F.concat(F.element_at(F.array(*map(F.lit, _FAMILY_TITLES)), (F.col("page_id") % 7 + 1).cast("int")), F.substring(F.regexp_extract("html", "<title>(.*?)</title>", 1), 1, 0))
+    title = F.element_at(F.array(*map(F.lit, _FAMILY_TITLES)), (F.col("page_id") % 7 + 1).cast("int"))
     return table(spark, d, "pages").select("page_id", ent.family(title).alias("family"))
 
 
@@ -313,7 +311,7 @@ def snippet(spark, d):
     return rows.select("qid", "doc_id", F.md5(txt.snippet(F.col("text"), F.col("question")).cast("binary")).alias("snippet_md5"))
 
 
-@query("baseline_answer", f"{_BEST_SQL}, {_SNIPPET_SQL} SELECT qid, md5(trim('Запрос: ' || any_value(text) || E'\\nРежим: BM25 baseline без LLM\\nЕдиница поиска: целый документ\\n\\nНайденные документы:\\n\\n' || string_agg(rank || '. ' || source || chr(10) || snippet || chr(10) || 'Источник: ' || source || chr(10), chr(10) ORDER BY rank), E' \\n')) AS answer_md5 FROM snip JOIN benchmark ON item_id = qid GROUP BY qid".replace("'Запрос: ' || any_value(text) || E'", "'Запрос: ' || any_value(text) || E'"))
+@query("baseline_answer", f"{_BEST_SQL}, {_SNIPPET_SQL} SELECT qid, md5(trim('Запрос: ' || any_value(text) || E'\\nРежим: BM25 baseline без LLM\\nЕдиница поиска: целый документ\\n\\nНайденные документы:\\n\\n' || string_agg(rank || '. ' || source || chr(10) || snippet || chr(10) || 'Источник: ' || source || chr(10), chr(10) ORDER BY rank), E' \\n')) AS answer_md5 FROM snip JOIN benchmark ON item_id = qid GROUP BY qid")
 def baseline_answer(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text", F.col("source").alias("source_url"))
     out = answer.baseline(_questions(spark, d), _best(spark, d), docs)
