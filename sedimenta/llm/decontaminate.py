@@ -67,9 +67,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     rows = rows.selectExpr("doc_id", "text_hash", "w", f"shiftright(fp, {PLACE}) AS mark", f"cast(fp & {(1 << PLACE) - 1}L as int) AS at")
     small = marks.count() <= BROADCAST_ROWS
     line = ["doc_id", "text_hash", "item_key", "n_item", "at - item_at AS start"]
-    cut = "slice(w, greatest(start, 0) + 1, least(size(w), start + n_item) - greatest(start, 0)) AS part"
+    cut = "slice(w, greatest(start, 0) + 1, least(size(w), start + n_item) - greatest(start, 0))"
     if small:
-        met = rows.join(F.broadcast(marks), "mark").selectExpr(*line, "w").selectExpr("doc_id", "text_hash", "item_key", "n_item", "start", "if(item_key is null, size(w), null) AS n_words", f"if(item_key is null, null, {cut[: -len(' AS part')]}) AS part")
+        met = rows.join(F.broadcast(marks), "mark").selectExpr(*line, "w").selectExpr("doc_id", "text_hash", "item_key", "n_item", "start", "if(item_key is null, size(w), null) AS n_words", f"if(item_key is null, null, {cut}) AS part")
         met = written(met, "benchmark-hits")
         base = met.where("item_key is null")
         hits = met.where("item_key is not null").dropDuplicates(["doc_id", "text_hash", "item_key", "start"])
@@ -80,7 +80,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         again = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash")).dropDuplicates(["doc_id", "text_hash"])
         met = met.withColumnRenamed("doc_id", "d").withColumnRenamed("text_hash", "t")
         met = met.join(again, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("t") == F.col("text_hash"))).withColumn("w", words(F.col("text")))
-        hits = met.selectExpr("doc_id", "text_hash", "item_key", "n_item", "start", cut)
+        hits = met.selectExpr("doc_id", "text_hash", "item_key", "n_item", "start", f"{cut} AS part")
     words_of = items.select("item_key", "item_id", F.col("w").alias("item_words"))
     hits = hits.join(F.broadcast(words_of) if small else words_of, "item_key")
     hits = hits.withColumn("same", F.expr("zip_with(slice(item_words, greatest(-start, 0) + 1, size(part)), part, (a, b) -> a = b)")).withColumn("span", F.expr(f"least({SPAN}, n_item)"))
