@@ -6,6 +6,8 @@ events for runs. Every query covers its whole tables; limits are only those of t
 
 from __future__ import annotations
 
+from uuid import NAMESPACE_URL
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +109,7 @@ def page_tag(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("set_id"), scalar.page_tag(sources).alias("tag"))
 
 
-@query("uuid5_keys")
+@query("uuid5_keys", f"SELECT page_id, d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' || ['8', '9', 'a', 'b'][('0x' || d[17:17])::INT % 4 + 1] || d[18:20] || '-' || d[21:32] AS id FROM (SELECT page_id, sha1(unhex('{NAMESPACE_URL.hex}') || encode(url)) AS d FROM pages)")
 def uuid5_keys(spark, d):
     return table(spark, d, "pages").select("page_id", scalar.uuid5("url", F.col("url")).alias("id"))
 
