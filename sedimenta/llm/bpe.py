@@ -12,7 +12,7 @@ from .common import map_rows
 from .pieces import Vocabulary, default_vocabulary
 
 #: Bounds of what a worker keeps: encoded words, trie nodes, and the longest word (bytes) put in the trie.
-WORDS, NODES, LONG = 400_000, 400_000, 256
+WORDS, NODES, LONG = 250_000, 250_000, 256
 
 
 class TrieEncoder:
@@ -61,7 +61,7 @@ class TrieEncoder:
                 end_right, b = of_b[0], of_b[1]
             else:
                 end_left, a = of_a[0], of_a[2]
-        if len(self.apart) > 1_000_000:
+        if len(self.apart) > 4 * WORDS:
             self.apart.clear()
         self.apart[key] = free
         return free
@@ -127,8 +127,6 @@ class TrieEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Adds the encodings of new distinct words."""
-        if len(self.words) + len(words) > WORDS:
-            self.words.clear()
         if len(self.last) > NODES:
             self._clear()
         plain = []
@@ -148,9 +146,10 @@ class TrieEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as native unsigned 32-bit integers."""
         split = [self.v.pieces(t) for t in texts]
-        new = set().union(*split).difference(self.words) if split else set()
-        if len(self.words) + len(new) > WORDS:
-            new = set().union(*split)
+        distinct = set().union(*split) if split else set()
+        new = distinct.difference(self.words)
+        if len(self.words) + len(new) > WORDS:  # those in use stay
+            self.words = {w: self.words[w] for w in distinct if w in self.words}
         if new:
             self.learn(new)
         words = self.words

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Rows and text bytes that one step of a Python operator holds at once.
 BATCH_ROWS = 1024
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,6 +54,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, for Python: the session's Arrow batches are brought down to BATCH_BYTES, as both the JVM and Python hold whole
+    ones. A session that has smaller ones keeps them."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = conf.get(name, None)
+    digits = "".join(c for c in held or "" if c.isdigit())
+    if digits and (not held.strip().lower().rstrip("b").isdigit() or int(digits) > BATCH_BYTES):
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str) -> DataFrame:
     """mapInArrow in slices of at most BATCH_ROWS rows and about BATCH_BYTES of strings.
 
@@ -68,7 +79,7 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
             if len(out[0]):
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(out, fields, strict=True)], schema=fields)
 
-    return df.mapInArrow(run, schema)
+    return small_batches(df).mapInArrow(run, schema)
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
@@ -107,7 +118,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """64-bit hashes of words (bytes), kept for words seen lately."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         import xxhash
 
         self.hash, self.seen, self.most = xxhash.xxh3_64_intdigest, {}, most

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, map_rows, mix64, rolling, slices, written
+from .common import WordHashes, components, map_rows, mix64, rolling, slices, small_batches, written
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: MinHash bands and values in each: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^36 < 1e-6.
@@ -184,7 +184,7 @@ def compare(rows: DataFrame, threshold: Fraction) -> DataFrame:
         if out:
             yield pack()
 
-    return rows.mapInArrow(run, "doc_id long, links long, to long")
+    return small_batches(rows).mapInArrow(run, "doc_id long, links long, to long")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD) -> DataFrame:

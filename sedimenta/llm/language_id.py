@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, slices
+from .common import map_rows, slices, small_batches
 
 #: Dimensions of a profile; letters in an n-gram; symbols: 0 stands for any run of what is no letter, then a to z, and
 #: the other letters share the rest.
 DIMENSIONS, GRAM, SYMBOLS, SEED = 2048, 3, 128, 20240229
 #: Letters that are worked on at once, and n-gram kinds whose vectors are made at once.
-SLAB, KINDS = 1 << 20, 4096
+SLAB, KINDS = 1 << 19, 2048
 UNKNOWN = "und"
 #: The score below which a text counts as no known language where documents are kept or not.
 LEAST = 0.05
@@ -122,7 +122,8 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -
         for name, x in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([x.tolist()], pa.list_(pa.int64()))], ["lang", "profile"])
 
-    parts = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).mapInArrow(run, "lang string, profile array<long>")
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    parts = small_batches(rows).mapInArrow(run, "lang string, profile array<long>")
     sums = parts.select("lang", F.posexplode("profile").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     out: dict[str, np.ndarray] = {}
     for r in sums.collect():  # languages times DIMENSIONS
@@ -186,7 +187,7 @@ def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float
         return pd.Series(out)
 
     rows = unit_rows(prototypes)
-    return docs.where(known(F.col(text_col)))
+    return small_batches(docs).where(known(F.col(text_col)))
 
 
 def held_out(id_col: str = "doc_id"):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Files, WordHashes, qualified, scratch, slices, written
+from .common import Files, WordHashes, qualified, scratch, slices, small_batches, written
 
 DEPTH, END = 4, 0xFF
 #: Entries of each table that every worker holds (16 bytes each); counts a task holds before it passes them on.
@@ -90,7 +90,7 @@ def count(docs: DataFrame) -> DataFrame:
             if parts:
                 yield pack(kind)
 
-    rows = docs.select("text", "train").mapInArrow(run, "kind int, key long, n long")
+    rows = small_batches(docs.select("text", "train")).mapInArrow(run, "kind int, key long, n long")
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
@@ -289,7 +289,7 @@ def score(docs: DataFrame, train, id_col: str = "doc_id", text_col: str = "text"
 
     id_type = docs.schema[id_col].dataType
     kind_of = to_arrow_type(id_type)
-    parts = written(rows.mapInArrow(run, f"uid long, doc_id {id_type.simpleString()}, n_tokens long, n_known long, base double, score double, kind int, key long, n long"), "lm-parts")
+    parts = written(small_batches(rows).mapInArrow(run, f"uid long, doc_id {id_type.simpleString()}, n_tokens long, n_known long, base double, score double, kind int, key long, n long"), "lm-parts")
     cold = parts.where("kind is not null").select("uid", "kind", "key", F.col("n").alias("times"))
     whole = model.select(F.lit(0).alias("kind"), "key", "value").union(word_model.select(F.lit(1), "key", "value"))
     cold = cold.join(whole, ["kind", "key"], "left").select("uid", F.when(F.col("kind") == 0, F.col("value") * F.col("times")).alias("score"), F.when(F.col("kind") == 1, F.coalesce("value", F.lit(unknown)) * F.col("times")).alias("base"), F.when((F.col("kind") == 1) & F.col("value").isNotNull(), F.col("times")).alias("n_known"))

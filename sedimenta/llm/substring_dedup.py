@@ -20,12 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_rows, rolling, slices, written
+from .common import WordHashes, map_rows, rolling, slices, small_batches, written
 
 SPAN, K = 50, 8
 PHRASE, STRIDE = 10, 41
 #: Windows that start in one segment; bytes of text in a bucket.
-STARTS, BUCKET = 150, 8 << 20
+STARTS, BUCKET = 150, 5 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -77,7 +77,7 @@ def confirm(texts: DataFrame) -> DataFrame:
                     pairs = np.unique(np.stack([rolling(h, SPAN, s)[here] for s in (0, 1)], 1).view(np.int64), axis=0)
                     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.full(len(pairs), doc_id, np.int64))], ["h1", "h2", "doc_id"])
 
-    rows = texts.select("doc_id", "text", "marks").mapInArrow(run, "h1 long, h2 long, doc_id long")
+    rows = small_batches(texts.select("doc_id", "text", "marks")).mapInArrow(run, "h1 long, h2 long, doc_id long")
     return rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h1", "h2", "owner")
 
 
@@ -100,7 +100,7 @@ def segments(texts: DataFrame) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    return texts.select("doc_id", "text", "owned").mapInArrow(run, "seg string, owner long, words string, marks array<long>")
+    return small_batches(texts.select("doc_id", "text", "owned")).mapInArrow(run, "seg string, owner long, words string, marks array<long>")
 
 
 def hash_of(text: str) -> str:
@@ -186,7 +186,7 @@ def stream(parts: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.types, strict=True)], schema=kinds)
 
-    return rows.mapInArrow(run, "doc_id long, sha binary, n_removed long, kept string")
+    return small_batches(rows).mapInArrow(run, "doc_id long, sha binary, n_removed long, kept string")
 
 
 def bucket_of(col: str, buckets: int):

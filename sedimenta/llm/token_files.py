@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Files, attempt_name, map_rows, qualified, scratch, slices, written
+from .common import Files, attempt_name, map_rows, qualified, scratch, slices, small_batches, written
 from .pieces import Vocabulary, default_vocabulary
 
 #: Fixed value: what a token file starts with.
@@ -194,7 +194,7 @@ def rank_ids(encoded: DataFrame, size: int) -> np.ndarray:
         found = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(sums[found], pa.int64())], ["id", "n"])
 
-    rows = encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = small_batches(encoded.select("ids")).mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     sums = np.zeros(size, np.int64)
     sums[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return np.lexsort((np.arange(size), -sums)).astype(np.uint32)
@@ -240,7 +240,7 @@ def write_tokens(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_pylist([{"file": name, "first_id": first[0], "first_seq": first[1], "docs": docs_n, "tokens": tokens}], schema=pa.schema([("file", pa.string()), ("first_id", pa.int64()), ("first_seq", pa.int64()), ("docs", pa.int64()), ("tokens", pa.int64())]))
 
     ordered = encoded.repartitionByRange("doc_id", "seq").sortWithinPartitions("doc_id", "seq")
-    rows = ordered.mapInArrow(write, "file string, first_id long, first_seq long, docs long, tokens long").collect()  # a row per file
+    rows = small_batches(ordered).mapInArrow(write, "file string, first_id long, first_seq long, docs long, tokens long").collect()  # a row per file
     rows.sort(key=lambda r: (r.first_id is not None, r.first_id or 0, r.first_seq))
     manifest, start = [], 0
     for r in rows:

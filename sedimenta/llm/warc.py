@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Files, attempt_name, qualified, scratch, slices, written
+from .common import Files, attempt_name, qualified, scratch, slices, small_batches, written
 
 #: Skippable frames for the index and for the seek table, and the end of a seek table.
 INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -167,7 +167,7 @@ def write_warc(pages: DataFrame, folder: str, least: int = 0, id_col: str = "pag
             bundle.close()
             out.close()
 
-    return written(rows.mapInArrow(write, "page_id long, record_id string, file string, frame long, offset long, length long"), "warc-index")
+    return written(small_batches(rows).mapInArrow(write, "page_id long, record_id string, file string, frame long, offset long, length long"), "warc-index")
 
 
 def read_warc(index: DataFrame, folder: str) -> DataFrame:
