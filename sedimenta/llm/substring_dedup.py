@@ -24,6 +24,7 @@ from .common import WordHashes, map_rows, rolling, slices, small_batches, writte
 
 SPAN, K = 50, 8
 PHRASE, STRIDE = 10, 41
+LETTERS = np.uint64(0x7FFFFFFF)
 #: Windows that start in one segment; bytes of text in a bucket.
 STARTS, BUCKET = 150, 5 << 20
 
@@ -113,47 +114,47 @@ class Automaton:
     def __init__(self, parts: list[tuple[int, str]], hashes: WordHashes):
         import ahocorasick
 
-        self.automaton, words, ends, owners = ahocorasick.Automaton(), [], [], []
+        # Letters are 31-bit word hashes: a node a word, not a character. What only shares letters is told apart below.
+        self.automaton, words, ends, owners = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE), [], [], []
         for owner, text in parts:
-            w = text.encode().split()
-            for at in range(0, len(w) - PHRASE + 1, STRIDE):
-                phrase = b" ".join([b"", *w[at : at + PHRASE], b""]).decode("latin-1")
-                self.automaton.add_word(phrase, len(phrase))
-            words.append(hashes(w))
-            owners += [owner] * (len(w) - SPAN + 1) + [0] * (SPAN - 1)
-            ends.append(len(owners))
+            h = hashes(text.encode().split())
+            letters = (h & LETTERS).tolist()
+            for at in range(0, len(h) - PHRASE + 1, STRIDE):
+                self.automaton.add_word(tuple(letters[at : at + PHRASE]))
+            words.append(h)
+            owners.append(np.full(len(h), owner))
+            ends.append((ends[-1] if ends else 0) + len(h))
         self.empty = not parts
         if self.empty:
             return
         self.automaton.make_automaton()
         # All segments' windows at once, less those that run over the end of a segment.
         one, two = (rolling(np.concatenate(words), SPAN, s) for s in (0, 1))
+        owners = np.concatenate(owners)
         inside = np.ones(len(owners), bool)
         for end in ends:
             inside[end - SPAN + 1 : end] = False
         inside = inside[: len(one)]
         order = np.argsort(one[inside], kind="stable")
-        self.one, self.two, self.owner = one[inside][order], two[inside][order], np.array(owners)[: len(one)][inside][order]
+        self.one, self.two, self.owner = one[inside][order], two[inside][order], owners[: len(one)][inside][order]
 
-    def covered(self, doc_id: int, words: list[bytes], h: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(words), bool)
-        if self.empty or len(words) < SPAN:
+    def covered(self, doc_id: int, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h), bool)
+        if self.empty or len(h) < SPAN:
             return out
-        hay = b" ".join([b"", *words, b""]).decode("latin-1")
-        spots = [end - n + 1 for end, n in self.automaton.iter(hay)]
-        if not spots:
+        found = [end for end, _ in self.automaton.iter(tuple((h & LETTERS).tolist()))]
+        if not found:
             return out
-        begins = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
-        places = np.searchsorted(begins, spots)
+        places = np.array(found) - PHRASE + 1
         # A window that repeats a segment's holds one of its phrases whole.
-        near = np.zeros(len(words) + 1, np.int64)
+        near = np.zeros(len(h) + 1, np.int64)
         np.add.at(near, np.maximum(places - (SPAN - PHRASE), 0), 1)
         np.add.at(near, places + 1, -1)
-        starts = np.flatnonzero(np.cumsum(near)[: len(words) - SPAN + 1])
+        starts = np.flatnonzero(np.cumsum(near)[: len(h) - SPAN + 1])
         one, two = rolling(h, SPAN, 0)[starts], rolling(h, SPAN, 1)[starts]
         at = np.minimum(np.searchsorted(self.one, one), len(self.one) - 1)
         starts = starts[(self.one[at] == one) & (self.two[at] == two) & (self.owner[at] < doc_id)]
-        cover = np.zeros(len(words) + 1, np.int64)
+        cover = np.zeros(len(h) + 1, np.int64)
         np.add.at(cover, starts, 1)
         np.add.at(cover, starts + SPAN, -1)
         return np.cumsum(cover)[:-1] > 0
@@ -179,7 +180,7 @@ def stream(parts: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
                 if automaton is None:
                     automaton, held = Automaton(held, hashes), []
                 w = words_of(text)
-                gone = automaton.covered(doc_id, w, hashes(w))
+                gone = automaton.covered(doc_id, hashes(w))
                 if gone.any():
                     kept = b" ".join([x for x, g in zip(w, gone.tolist(), strict=True) if not g])
                     out.append((doc_id, hashlib.sha256(b" ".join(w)).digest(), int(gone.sum()), kept.decode()))
