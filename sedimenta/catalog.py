@@ -15,8 +15,8 @@ from .functions import entities as ent
 from .functions import scalar
 from .functions import text as txt
 from .operators import analysis, answer, dense, enrich, evaluate, fusion, graph, parsing, sparse
+from .operators.joins import reused
 from .options import Options
-from .sources import store
 
 OPTIONS = Options()
 #: A dictionary of frequent corpus words, ours, next to the default one: the tables name few products.
@@ -395,7 +395,7 @@ gh AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY
 
 @query("graph_search", f"WITH {GRAPH_SQL}, {EDGES_SQL}, {NEAR_SQL}, {SEEDS_SQL}, {GSEARCH_SQL} SELECT qid, chunk_id, score, rank::INT AS rank FROM gh")
 def graph_search(spark, d):
-    chunks = store.reused(_enriched(spark, d))
+    chunks = reused(_enriched(spark, d))
     return graph.search(_graph_queries(spark, d), graph.nodes(chunks), graph.edges(chunks), graph.links(chunks), OPTIONS)
 
 
@@ -406,7 +406,7 @@ one AS (SELECT qid, fact, min(ord * 10000 + nth * 10 + o) AS pos FROM said GROUP
 few AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS n FROM one QUALIFY n <= 8)
 SELECT qid, string_agg(fact, '; ' ORDER BY n) AS facts FROM few GROUP BY qid""")
 def graph_facts(spark, d):
-    chunks = store.reused(_enriched(spark, d))
+    chunks = reused(_enriched(spark, d))
     return graph.facts(_graph_queries(spark, d), graph.nodes(chunks), graph.edges(chunks), OPTIONS).select("qid", F.array_join("facts", "; ").alias("facts"))
 
 

@@ -8,6 +8,7 @@ from . import catalog as c
 from .catalog import CORPUS, OPTIONS, query, table
 from .functions import entities as ent
 from .operators import analysis, answer, dense, evaluate, fusion, graph
+from .operators.joins import reused
 from .plans import engine
 from .sources import store
 
@@ -60,19 +61,19 @@ def _numbered(spark, d):
 
     chunks = c._enriched(spark, d)
     order = Window.partitionBy(F.substring("chunk_id", 1, 1)).orderBy("chunk_id")
-    return store.reused(chunks.withColumn("n", F.ascii(F.substring("chunk_id", 1, 1)).cast("long") * F.lit(1 << 40) + F.row_number().over(order)))
+    return reused(chunks.withColumn("n", F.ascii(F.substring("chunk_id", 1, 1)).cast("long") * F.lit(1 << 40) + F.row_number().over(order)))
 
 
 def _analysed(spark, d):
     asked = analysis.analyze(c._questions(spark, d), CORPUS)
-    return store.reused(asked.withColumn("query_mode", F.element_at(F.array(*map(F.lit, ("classic", "mixed", "graph_first"))), (F.col("qid") % 3 + 1).cast("int"))))
+    return reused(asked.withColumn("query_mode", F.element_at(F.array(*map(F.lit, ("classic", "mixed", "graph_first"))), (F.col("qid") % 3 + 1).cast("int"))))
 
 
 def _hits(spark, d):
     chunks, asked, embedder = _numbered(spark, d), _analysed(spark, d), dense.HashEmbedder()
     vectors = chunks.select("chunk_id", dense.embed(F.col("text"), embedder).alias("v"))
     hits = engine.candidates(asked, chunks, vectors, graph.nodes(chunks), graph.edges(chunks), graph.links(chunks), embedder, OPTIONS, "hybrid")
-    return chunks, asked, store.reused(hits)
+    return chunks, asked, reused(hits)
 
 
 @query("candidate_lists", f"{_ALL} SELECT qid, chunk_id, src AS source, rank::INT AS rank, round(score, 4) AS score FROM hits")
@@ -147,7 +148,7 @@ def hybrid_search(spark, d):
 SELECT rw.qid, coalesce(cited, '') AS cited, md5(CASE WHEN l IS NULL THEN '{answer.REFUSAL}' ELSE trim('Переписанный запрос: ' || rew || chr(10) || 'Режим поиска: ' || mode || chr(10) || chr(10) || '{answer.NOT_GENERATED}' || chr(10) || chr(10) || l, E' \\n\\t') END) AS answer_md5 FROM rw LEFT JOIN fin USING (qid)""")
 def citations_answer(spark, d):
     asked, ranked = _ranked(spark, d)
-    ranked = store.reused(ranked)
+    ranked = reused(ranked)
     out = asked.select("qid").join(answer.citations(ranked), "qid", "left").join(answer.fallback(asked, ranked), "qid")
     return out.select("qid", F.coalesce(F.array_join(F.transform("citations", lambda x: x["chunk_id"]), ","), F.lit("")).alias("cited"), F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
 

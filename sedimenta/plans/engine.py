@@ -11,9 +11,10 @@ from ..functions.entities import FIELDS, Dictionary, matches
 from ..functions.scalar import uuid5
 from ..functions.text import clean_inline
 from ..operators import analysis, answer, dense, enrich, evaluate, fusion, graph, parsing, sparse
+from ..operators.joins import reused
 from ..options import Options
 from ..sources import files
-from ..sources.store import Store, reused
+from ..sources.store import Store
 
 MODES = ("dense", "bm25", "bm25_baseline", "graph", "hybrid")
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from uuid import uuid4
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +16,6 @@ SCHEMAS = {
 LISTS = ("tags", "required_terms", "forbidden_terms", "required_sources")
 
 
-def reused(df: DataFrame) -> DataFrame:
-    """A frame that one plan reads several times; spills to disk, and is worked out again where an executor is lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def list_sets(sets: DataFrame, questions: DataFrame, runs: DataFrame) -> DataFrame:
     """Sets with their number of questions and last run, latest change first. Both sides are counted before they join."""
     n = questions.groupBy("set_id").agg(F.count("*").alias("question_count"))
