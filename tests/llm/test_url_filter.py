@@ -2,6 +2,8 @@ import re
 
 import duckdb
 import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 from sedimenta.llm import url_filter as uf
 
 URLS = [None, "", "no scheme", "http://Example.ORG/es/x?y", "https://example.org/en/12#a", "http://a.b.example.org/de/", "http://x.com/fr/1", "http://x.com/de", "http://x.com/de/2", "http://y.com/en/1", "http://badorg/x", "http://sub.org", "http://sub.org?x", "http://net.net/a://b/c", "ftp://h\nost/x", "http://z.net/en/1", "http://w.net/", "http://v.net/"]
@@ -28,3 +30,13 @@ def test_empty_and_native(spark):
     docs = spark.createDataFrame(rows(), "page_id long, url string, html string")
     assert uf.judge(docs.where("false")).count() == 0
     assert not re.search("Python|Arrow|Pandas", uf.judge(docs)._jdf.queryExecution().toString())
+
+
+def test_small_shares_count_in_a_large_corpus(spark):
+    wide = lambda host: f'<a href="http://{host}/">' * 999
+    web = [(-1, "http://x.com/de/", None), (-2, "http://big1.net/", wide("x.com")), (-3, "http://a.net/", '<a href="http://x.com/">'), (-4, "http://big2.net/", wide("a.net")), (-5, "http://b.net/", '<a href="http://a.net/">')]
+    elsewhere = spark.range(2_000_000).select("id", F.lit("http://sub.org/"), F.lit(None).cast("string"))
+    docs = spark.createDataFrame(web, "page_id long, url string, html string").union(elsewhere)
+    got = {r.page_id: r for r in uf.judge(docs).where("page_id < 0").collect()}
+    assert {r.verdict for r in got.values()} == {"block"} and got[-5].distrust == 0  # its share of 10**12 is below 1
+    assert got[-5].distrust_pages == pytest.approx(0.15 * 0.85**2 / 1000**2) and got[-5].trust_pages == 0
