@@ -40,3 +40,13 @@ def test_small_shares_count_in_a_large_corpus(spark):
     got = {r.page_id: r for r in uf.judge(docs).where("page_id < 0").collect()}
     assert {r.verdict for r in got.values()} == {"block"} and got[-5].distrust == 0  # its share of 10**12 is below 1
     assert got[-5].distrust_pages == pytest.approx(0.15 * 0.85**2 / 1000**2) and got[-5].trust_pages == 0
+
+
+def test_far_hosts_are_reached(spark):
+    chain = [(0, "http://x.com/de/", None)] + [(i, f"http://h{i}.net/", f'<a href="http://{"x.com" if i == 1 else f"h{i - 1}.net"}/">') for i in range(1, 25)]
+    docs = spark.createDataFrame(chain, "page_id long, url string, html string")
+    assert {r.page_id for r in uf.judge(docs).where("verdict = 'block'").collect()} == set(range(25))
+    seeds = spark.createDataFrame([("distrust", "x.com", 1)], "kind string, host string, pages long")
+    ways = uf.link_ways(uf.host_links(docs))
+    with pytest.raises(RuntimeError, match="did not settle"):
+        uf.settled(seeds, ways, limit=5)
