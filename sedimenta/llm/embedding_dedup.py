@@ -10,6 +10,8 @@ is within the link distance. Both bounds are exact, so nothing is lost; the exac
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -82,28 +84,8 @@ def _matrix(vectors: list, dims: int) -> np.ndarray:
     return np.array(vectors, np.float64).reshape(len(vectors), dims)
 
 
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) for every row.
-
-    Vectors link if their labels are equal and not null and their cosine, in double precision, is at least `cosine`.
-    Vectors that are null, zero, of another length than most, or hold null or non-finite components link with
-    nothing; they are their own component and kept. Equal vectors count one by one but are compared once. Rows with a
-    null id link with nothing and have a null component. Rows that share an id count each; their components join.
-    n_links counts other rows. Other columns aren't read.
-    """
-    spark = rows.sparkSession
-    v = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    bad = "coalesce(exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')), true) or coalesce(forall(v, x -> x = 0), true)"
-    v = written(v.withColumn("whole", ~F.expr(bad) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()), "vectors")
-    common = v.where("whole").groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dims").first()
-    dims = common.dims if common else 0
-    # Equal vectors of a label are one: the smallest id, with how many there are. -0.0 counts as 0.0.
-    same = F.xxhash64("label", F.expr("transform(v, x -> x + 0.0D)"))
-    v = v.withColumn("whole", F.col("whole") & (F.size("v") == dims)).withColumn("same", F.when(F.col("whole"), same))
-    groups = v.where("whole").groupBy("same", "label", F.expr("transform(v, x -> x + 0.0D)").alias("v")).agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    groups = written(groups, "vector-groups")
-    if groups.isEmpty():
-        return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+def _met(groups: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """(vec_id, links, to) of the groups, all of them vectors of length dims, from every block where they have links."""
     sample = _matrix([r.v for r in groups.select("v", "first").orderBy(F.xxhash64("v"), "first").limit(SAMPLE).collect()], dims)  # SAMPLE vectors
     sample /= np.linalg.norm(sample, axis=1)[:, None]
     index = Index(sample, cosine)
@@ -201,10 +183,35 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
         if out:
             yield pack()
 
-    met = written(dealt.mapInArrow(compare, "vec_id long, links long, to long"), "vector-links")
-    links = met.groupBy(F.col("vec_id").alias("first")).agg(F.sum("links").alias("links"))
+    return written(dealt.mapInArrow(compare, "vec_id long, links long, to long"), "vector-links")
+
+
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) for every row.
+
+    Vectors link if their labels are equal and not null, their lengths equal, and their cosine, in double precision, is
+    at least `cosine`. Vectors that are null, zero, or hold null or non-finite components link with nothing; they are
+    their own component and kept. Each length has an index of its own. Equal vectors count one by one but are compared
+    once. Rows with a null id link with nothing and have a null component. Rows that share an id count each; their
+    components join. n_links counts other rows. Other columns aren't read.
+    """
+    v = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    bad = "coalesce(exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')), true) or coalesce(forall(v, x -> x = 0), true)"
+    v = written(v.withColumn("whole", ~F.expr(bad) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()), "vectors")
+    # Equal vectors of a label are one: the smallest id, with how many there are. -0.0 counts as 0.0.
+    same = F.xxhash64("label", F.expr("transform(v, x -> x + 0.0D)"))
+    v = v.withColumn("same", F.when(F.col("whole"), same))
+    groups = v.where("whole").groupBy("same", "label", F.expr("transform(v, x -> x + 0.0D)").alias("v")).agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    groups = written(groups, "vector-groups")
+    if groups.isEmpty():
+        return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    # A length with one group has nothing to compare. Lengths are few; each is worked through alone.
+    lengths = groups.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).where("n > 1").orderBy("dims").collect()
+    parts = [_met(groups.where(F.size("v") == r.dims), r.dims, cosine).withColumn("dims", F.lit(r.dims)) for r in lengths]
+    met = reduce(DataFrame.union, parts, groups.where("false").select(F.col("first").alias("vec_id"), F.col("copies").alias("links"), F.col("first").alias("to"), F.size("v").alias("dims")))
+    links = met.groupBy(F.col("vec_id").alias("first"), "dims").agg(F.sum("links").alias("links"))
     classes = components(met.where("vec_id <> to").select(F.col("vec_id").alias("u"), F.col("to").alias("v")), "vectors")
-    found = groups.select("same", "first", "copies").join(links, "first", "left").join(classes.withColumnRenamed("node", "first"), "first", "left")
+    found = groups.select("same", "first", "copies", F.size("v").alias("dims")).join(links, ["first", "dims"], "left").join(classes.withColumnRenamed("node", "first"), "first", "left")
     found = written(found.select(F.col("same").alias("of"), "first", "copies", "links", "component"), "vector-classes")
     out = v.select("vec_id", "same").join(found, F.col("same") == F.col("of"), "left")
     n_links = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))

@@ -61,6 +61,13 @@ def test_odd_tables(spark):
     assert found(spark, [(1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, [1.0, 0.0], 2)]) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
 
 
+def test_every_length_is_compared(spark):
+    short = [(10, [1.0, 0.0], 1), (11, [1.0, 0.0], 1), (12, [1.0, 0.1], 1), (13, [1.0, 0.0], 2), (14, [1.0], 1)]
+    long_ = [(i, [float(i == j) for j in range(4)], 1) for i in range(4)] + [(4, [1.0, 0.1, 0.0, 0.0], 1), (5, [0.0, 0.0, 1.0, 0.1], 1)]
+    want = [(0, 1, 0), (1, 0, 1), (2, 1, 2), (3, 0, 3), (4, 1, 0), (5, 1, 2), (10, 2, 10), (11, 2, 10), (12, 2, 10), (13, 0, 13), (14, 0, 14)]
+    assert found(spark, short + long_) == sorted(want, key=str)
+
+
 def test_bounds_lose_nothing():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2000, 16))
