@@ -96,8 +96,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that aren't contaminated, with all their columns."""
-    bad = contamination(docs, items, id_col, text_col).where("contaminated").select(F.col(id_col).alias("__bad_id"), F.col("text_hash").alias("__bad_text")).distinct()
+    """The rows of docs, with all their columns, in which no window of an item occurs: one passage of a benchmark spoils a
+    text however long it is. Null and empty texts stay."""
+    bad = contamination(docs, items, id_col, text_col).where("n_hit > 0").select(F.col(id_col).alias("__bad_id"), F.col("text_hash").alias("__bad_text")).distinct()
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__bad_id")) & (F.xxhash64(text_col) == F.col("__bad_text")), "left_anti")
 
 
