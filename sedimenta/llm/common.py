@@ -97,6 +97,26 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
             at += rows
 
 
+def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of each run of rows with equal values, none of them null, in the first `keys` columns."""
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        changed = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+        edges = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
+        for first, last in zip(edges[:-1], edges[1:], strict=True):
+            key = tuple(c[first] for c in columns)
+            if key != now and held:
+                yield now, pa.Table.from_batches(held).combine_chunks()
+                held = []
+            now = key
+            held.append(batch.slice(first, last - first))
+    if held:
+        yield now, pa.Table.from_batches(held).combine_chunks()
+
+
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

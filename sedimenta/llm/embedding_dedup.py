@@ -1,11 +1,16 @@
 """Embedding near-dedup by product quantisation.
 
 Vectors are scaled to length one and put in the inverted list of the nearest coarse centroid; what is left (the residual)
-is coded by subspace, one byte each. Coarse centroids and codebooks are fitted on a bounded sample; every vector is
-indexed. A query vector probes each list that can hold a vector near enough: one nearer to that list's centroid than to
-the query's own, so the border plane between the two lies within the link distance. In a list, distances come from a
-table of the query's distances to all codes (asymmetric); a vector is passed on if its distance less its own coding error
-is within the link distance. Both bounds are exact, so nothing is lost; the exact cosine in double precision decides.
+is coded by subspace, one byte each. Centroids and codebooks are fitted on a bounded sample; every vector is indexed, once.
+
+1. visit: a vector visits, as its codes, its own list and each later list whose border with its own is near enough. In a
+   list, the members' inner products with all codewords make tables, and distances to visitors come from lookups
+   (asymmetric: member as it is, visitor coded). A pair stays if this distance less the visitor's coding error is within
+   the link distance; that bound is exact. Members and visitors with such a pair survive.
+2. rerank: only survivors get their full vectors; the cosine in double precision decides.
+
+What may be lost is a link whose vectors lie in lists that don't visit each other. A difference of the link distance in a
+random direction has a component across a border of about distance / sqrt(dimensions); SURE of these are allowed for.
 """
 
 from __future__ import annotations
@@ -17,13 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, written
+from .common import components, runs, small_batches, written
 
 COSINE = 0.93
-#: The sample (vectors with the smallest hashes), coarse lists at most, bytes of code, codes in each subspace, rounds.
-SAMPLE, LISTS, SUBSPACES, CODES, ROUNDS, SEED = 8192, 64, 16, 256, 8, 7
-#: Base and query vectors aimed at in a block of a list.
-BLOCK = 1024
+#: Lists: LISTS times the root of the largest label's vectors, one for every PER_LIST sample vectors at most. The sample:
+#: SAMPLE vectors or more, up to MOST and to SAMPLE_BYTES.
+LISTS, PER_LIST, SAMPLE, MOST, SAMPLE_BYTES = 2, 8, 8192, 1 << 16, 32 << 20
+#: Bytes of a code, codes in each subspace, rounds of fitting.
+SUBSPACES, CODES, ROUNDS, SEED = 16, 256, 8, 7
+#: Standard deviations of a random difference's component across a border that visits allow for.
+SURE = 3.0
+#: Members and visitors aimed at in a block of a list.
+MEMBERS, VISITORS = 1024, 4096
 #: What single precision may add to a distance.
 SLACK = 1e-3
 
@@ -38,155 +48,194 @@ def _fit(x: np.ndarray, k: int, rng) -> np.ndarray:
     centres = distinct[rng.choice(len(distinct), min(k, len(distinct)), replace=False)]
     for _ in range(ROUNDS):
         at = _nearest(x, centres)
-        for j in range(len(centres)):
-            if (own := x[at == j]).size:
-                centres[j] = own.mean(0)
+        sums, n = np.zeros_like(centres), np.bincount(at, minlength=len(centres))
+        np.add.at(sums, at, x)
+        centres[n > 0] = sums[n > 0] / n[n > 0, None]
     return centres
 
 
+def _fit_lists(x: np.ndarray, k: int, rng) -> np.ndarray:
+    """k centres or so, in two levels, so that the work grows with k ** 1.5 and not k ** 2."""
+    top = _fit(x, max(1, round(k**0.5)), rng)
+    at = _nearest(x, top)
+    parts = [x[at == j] for j in range(len(top))]
+    return np.concatenate([_fit(p, max(1, round(k * len(p) / len(x))), rng) for p in parts if len(p)])
+
+
 class Index:
-    """Coarse centroids and codebooks."""
+    """Coarse centroids and codebooks of vectors of length one."""
 
-    def __init__(self, sample: np.ndarray, cosine: float):
+    def __init__(self, sample: np.ndarray, lists: int, cosine: float, sure: float = SURE):
         rng = np.random.default_rng(SEED)
-        self.reach, self.dims = np.sqrt(2 - 2 * cosine), sample.shape[1]
+        self.dims = sample.shape[1]
+        self.reach = np.sqrt(2 - 2 * cosine)
+        self.across = self.reach * min(1.0, sure / self.dims**0.5)
         self.parts = np.array_split(np.arange(self.dims), min(SUBSPACES, self.dims))
-        self.lists = _fit(sample.copy(), min(LISTS, max(1, len(sample) // 32)), rng)
+        self.lists = _fit_lists(sample, max(1, min(lists, len(sample) // PER_LIST)), rng)
         rest = sample - self.lists[_nearest(sample, self.lists)]
         self.books = [_fit(rest[:, p].copy(), CODES, rng) for p in self.parts]
-        gaps = np.sqrt(np.maximum(((self.lists[:, None] - self.lists[None]) ** 2).sum(2), 0))
-        self.gaps = np.where(gaps > 0, gaps, 1)
-
-    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The own list of each vector, and which lists may hold a vector within reach."""
-        d = ((x[:, None] - self.lists[None]) ** 2).sum(2)
-        own = d.argmin(1)
-        plane = (d - d.min(1)[:, None]) / (2 * self.gaps[own])
-        return own, plane <= self.reach + SLACK
-
-    def code(self, x: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
-        """Codes of the vectors of list at, and the length of what the codes miss."""
-        rest = x - self.lists[at]
-        codes = np.stack([_nearest(rest[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], 1)
-        miss = sum(((rest[:, p] - b[c]) ** 2).sum(1) for p, b, c in zip(self.parts, self.books, codes.T, strict=True))
-        return codes, np.sqrt(miss)
-
-    def near(self, queries: np.ndarray, codes: np.ndarray, miss: np.ndarray, at: int) -> np.ndarray:
-        """For every query and coded vector, whether the vector may be within reach, by table lookup."""
-        rest, far = queries - self.lists[at], 0
+
+    def visits(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The own list of each vector, and the lists it visits: its own and the later ones that are near enough.
+
+        Of two lists only the earlier's vectors visit, so a pair is met once. The border of two lists lies at
+        (d - d_own) / (2 * gap) from a vector, d being squared distances from the centroids and gap theirs."""
+        own, out, squares = np.empty(len(x), np.int64), [], (self.lists**2).sum(1)
+        for at in range(0, len(x), 512):
+            some = x[at : at + 512]
+            d = squares - 2 * some @ self.lists.T
+            mine = own[at : at + 512] = d.argmin(1)
+            gaps = np.sqrt(np.maximum(squares[mine, None] + squares - 2 * self.lists[mine] @ self.lists.T, 0))
+            near = d - d[np.arange(len(some)), mine][:, None] <= 2 * gaps * self.across + SLACK
+            near &= np.arange(len(self.lists)) >= mine[:, None]
+            out += [np.flatnonzero(n).astype(np.int32) for n in near]
+        return own, out
+
+    def code(self, x: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes of the vectors, the squared length of what they decode to, and how far that is from the vector."""
+        rest = x - self.lists[own]
+        codes = np.stack([_nearest(rest[:, p], b) for p, b in zip(self.parts, self.books, strict=True)], 1).astype(np.uint8)
+        decoded = self.lists[own].copy()
+        for p, b, c in zip(self.parts, self.books, codes.T, strict=True):
+            decoded[:, p] += b[c]
+        return codes, (decoded**2).sum(1), np.sqrt(((x - decoded) ** 2).sum(1))
+
+    def near(self, members: np.ndarray, own: np.ndarray, codes: np.ndarray, square: np.ndarray, miss: np.ndarray) -> np.ndarray:
+        """For every member (as it is) and visitor (coded), whether they may be within reach: by table lookup."""
+        homes, at = np.unique(own, return_inverse=True)
+        inner = (members @ self.lists[homes].T.astype(np.float32))[:, at]
         for p, b, c in zip(self.parts, self.books, codes.T, strict=True):
-            table = (rest[:, p] ** 2).sum(1)[:, None] - 2 * rest[:, p] @ b.T + (b * b).sum(1)
-            far = far + table[:, c]
-        return np.sqrt(np.maximum(far, 0)) <= self.reach + miss + SLACK
+            inner += (members[:, p] @ b.T.astype(np.float32))[:, c]
+        return 1 + square - 2 * inner <= (self.reach + miss + SLACK) ** 2
+
+
+def _matrix(column, dims: int, kind=np.float64) -> np.ndarray:
+    """An Arrow column of lists or binaries of dims numbers as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(len(column), dims)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), dims)
 
 
-def _matrix(vectors: list, dims: int) -> np.ndarray:
-    return np.array(vectors, np.float64).reshape(len(vectors), dims)
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1)[:, None]
+    return x / np.linalg.norm(x, axis=1)[:, None]
 
 
-def _met(groups: DataFrame, dims: int, cosine: float) -> DataFrame:
-    """(vec_id, links, to) of the groups, all of them vectors of length dims, from every block where they have links."""
-    sample = _matrix([r.v for r in groups.select("v", "first").orderBy(F.xxhash64("v"), "first").limit(SAMPLE).collect()], dims)  # SAMPLE vectors
-    sample /= np.linalg.norm(sample, axis=1)[:, None]
-    index = Index(sample, cosine)
+def _indexed(groups: DataFrame, index: Index) -> DataFrame:
+    """(uid, label, list, visits, x, codes, square, miss): every vector's place in the index."""
 
-    def assign(batches):
+    def run(batches):
         for batch in batches:
-            if not batch.num_rows:
+            if batch.num_rows:
+                x = _unit(_matrix(batch.column("v"), index.dims))
+                own, visits = index.visits(x)
+                codes, square, miss = index.code(x, own)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, visits)]), pa.int32()), pa.array(np.concatenate(visits)))
+                rows = [batch.column("uid"), batch.column("label"), pa.array(own, pa.int32()), lists, pa.array([r.tobytes() for r in x.astype(np.float32)]), pa.array([r.tobytes() for r in codes]), pa.array(square, pa.float32()), pa.array(miss, pa.float32())]
+                yield pa.RecordBatch.from_arrays(rows, ["uid", "label", "list", "visits", "x", "codes", "square", "miss"])
+
+    kinds = "uid long, label string, list int, visits array<int>, x binary, codes binary, square float, miss float"
+    return written(small_batches(groups.select("uid", "label", "v")).mapInArrow(run, kinds), "vector-index")
+
+
+CELL = ["label", "list", "base", "ask"]
+
+
+def _survivors(held: DataFrame, index: Index) -> DataFrame:
+    """(label, list, base, ask, role, home, uid): members (role 0) and visitors (role 1) of a block with a pair that may
+    be within reach. home: the visitor's own list is this one. Lists are dealt out by blocks of members and visitors, so
+    a hot list is many tasks; each task gives one row a vector, never pairs."""
+    visits = held.select("label", F.explode("visits").alias("at"), "uid", F.col("list").alias("own"), "codes", "square", "miss").withColumnRenamed("at", "list")
+    members = held.groupBy("label", "list").agg(F.count("*").alias("members"))
+    sizes = visits.groupBy("label", "list").agg(F.count("*").alias("visitors")).join(members, ["label", "list"])
+    blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
+    sizes = written(sizes.select("label", "list", blocks("members", MEMBERS).alias("bases"), blocks("visitors", VISITORS).alias("asks")), "vector-blocks")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    spot = lambda n: F.pmod(F.xxhash64("uid"), F.col(n)).cast("int")
+    none = lambda kind: F.lit(None).cast(kind)
+    base = held.select("label", "list", "uid", "x").join(sizes, ["label", "list"]).select("label", "list", spot("bases").alias("base"), each("asks").alias("ask"), F.lit(0).alias("role"), "uid", none("int").alias("own"), F.col("x").alias("data"), none("float").alias("square"), none("float").alias("miss"))
+    ask = visits.join(sizes, ["label", "list"]).select("label", "list", each("bases").alias("base"), spot("asks").alias("ask"), F.lit(1).alias("role"), "uid", "own", F.col("codes").alias("data"), "square", "miss")
+    dealt = base.union(ask).repartition(*CELL).sortWithinPartitions(*CELL, "role", "uid")
+
+    def run(batches):
+        for (label, at, first, second), rows in runs(batches, 4):
+            role = rows["role"].to_numpy()
+            a, b = rows.slice(0, n := int((role == 0).sum())), rows.slice(n)
+            if not len(a) or not len(b):
                 continue
-            x = _matrix(batch.column("v").to_pylist(), dims)
-            scale = np.abs(x).max(1)
-            x /= scale[:, None]
-            own, probes = index.probes(x / np.linalg.norm(x, axis=1)[:, None])
-            # A pair is met once: in the later of both lists, the query coming from the earlier.
-            probes &= np.arange(len(index.lists)) > own[:, None]
-            yield pa.RecordBatch.from_arrays([batch.column("first"), batch.column("label"), batch.column("copies"), batch.column("v"), pa.array(own, pa.int32()), pa.array([np.flatnonzero(p).tolist() for p in probes], pa.list_(pa.int32()))], ["vec_id", "label", "copies", "v", "list", "probes"])
-
-    kinds = "vec_id long, label string, copies long, v array<double>, list int, probes array<int>"
-    held = written(groups.select("first", "label", "copies", "v").mapInArrow(assign, kinds), "vector-lists")
-    blocks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
-    asked = held.select("label", F.explode("probes").alias("list")).groupBy("label", "list").agg(F.count("*").alias("others"))
-    sizes = held.groupBy("label", "list").agg(F.count("*").alias("n")).join(asked, ["label", "list"], "left").select("label", "list", blocks("n").alias("bases"), F.greatest(F.lit(0), F.ceil(F.coalesce("others", F.lit(0)) / BLOCK)).cast("int").alias("asks"))
-    sizes = written(sizes, "vector-blocks")
-    spot = lambda n: F.pmod(F.xxhash64("vec_id"), F.greatest(F.col(n), F.lit(1))).cast("int")
-    # Blocks (base, query) of a list: its own vectors against each other (query < 0 names the other base block), then
-    # against the vectors that probe it. Each vector goes to all blocks of its row or column.
-    base = held.select("vec_id", "label", "copies", "v", "list").join(sizes, ["label", "list"]).withColumn("own", spot("bases"))
-    inner = F.expr("transform(sequence(0, bases - 1), b -> struct(least(b, own) as base, -1 - greatest(b, own) as ask, if(own <= b, 0, 1) as role))")
-    outer = F.expr("if(asks > 0, transform(sequence(0, asks - 1), q -> struct(own as base, q as ask, 0 as role)), array())")
-    base = base.withColumn("spot", F.explode(F.concat(inner, outer)))
-    ask = held.select("vec_id", "label", "copies", "v", F.explode("probes").alias("list")).join(sizes, ["label", "list"]).withColumn("own", spot("asks"))
-    ask = ask.withColumn("spot", F.explode(F.expr("transform(sequence(0, bases - 1), b -> struct(b as base, own as ask, 1 as role))")))
-    columns = ["label", "list", "spot.base", "spot.ask", "spot.role", "vec_id", "copies", "v"]
-    dealt = base.select(*columns).union(ask.select(*columns))
-    dealt = dealt.repartition("label", "list", "base", "ask").sortWithinPartitions("label", "list", "base", "ask", "role", "vec_id")
-
-    def compare(batches):
-        out: list[tuple[int, int, int]] = []
-
-        def settle(key, items):
-            roles = np.array([r for r, *_ in items])
-            ids, copies = np.array([i for _, i, _, _ in items]), np.array([c for _, _, c, _ in items])
-            raw = _matrix([x for *_, x in items], dims)
-            raw /= np.abs(raw).max(1)[:, None]
-            x = raw / np.linalg.norm(raw, axis=1)[:, None]
-            b = np.flatnonzero(roles == 0)
-            alone = key[3] < 0 and not (roles == 1).any()
-            q = b if alone else np.flatnonzero(roles == 1)
-            if not len(b) or not len(q):
-                return
-            codes, miss = index.code(x[b], key[1])
-            counts, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-
-            def top(i):
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            for at in range(0, len(q), 256):
-                some = q[at : at + 256]
-                rows_, cols = np.nonzero(index.near(x[some], codes, miss, key[1]))
-                i, j = some[rows_], b[cols]
-                keep = ids[i] < ids[j] if alone else ids[i] != ids[j]
-                i, j = i[keep], j[keep]
-                for part in range(0, len(i), 1 << 16):
-                    a, c = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-                    linked = np.einsum("nd,nd->n", x[a], x[c]) >= cosine
-                    a, c = a[linked], c[linked]
-                    np.add.at(counts, a, copies[c])
-                    np.add.at(counts, c, copies[a])
-                    for m, n in zip(a.tolist(), c.tolist(), strict=True):
-                        m, n = top(m), top(n)
-                        if m != n:
-                            m, n = (m, n) if ids[m] < ids[n] else (n, m)
-                            root[n] = m
-            out.extend((int(ids[i]), int(counts[i]), int(ids[top(i)])) for i in np.flatnonzero(counts))
-
-        def pack():
-            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["vec_id", "links", "to"])
-            out.clear()
-            return batch
-
-        now, items = None, []
-        for batch in batches:
-            for *key, role, vec_id, copies, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if key != now:
-                    if items:
-                        settle(now, items)
-                    now, items = key, []
-                items.append((role, vec_id, copies, x))
-            if len(out) > 10_000:
-                yield pack()
-        if items:
-            settle(now, items)
-        if out:
-            yield pack()
-
-    return written(dealt.mapInArrow(compare, "vec_id long, links long, to long"), "vector-links")
-
-
-def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE) -> DataFrame:
+            x, codes = _matrix(a["data"], index.dims, np.float32), _matrix(b["data"], len(index.parts), np.uint8)
+            own, one, two = b["own"].to_numpy(), a["uid"].to_numpy(), b["uid"].to_numpy()
+            home, met = own == at, np.zeros((2, max(len(a), len(b))), bool)
+            for i in range(0, len(a), 256):
+                near = index.near(x[i : i + 256], own, codes, b["square"].to_numpy(), b["miss"].to_numpy())
+                near &= ~home | (one[i : i + 256, None] < two)
+                met[0, i : i + 256][: len(near)] |= near.any(1)
+                met[1, : len(b)] |= near.any(0)
+            kept = np.flatnonzero(met[0, : len(a)]), np.flatnonzero(met[1, : len(b)])
+            n = sum(map(len, kept))
+            if n:
+                out = [pa.array([label] * n, pa.string()), *(pa.array(np.full(n, v, np.int32)) for v in (at, first, second)), pa.array(np.repeat([0, 1], [len(k) for k in kept]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(kept[0]), bool), home[kept[1]]])), pa.array(np.concatenate([one[kept[0]], two[kept[1]]]))]
+                yield pa.RecordBatch.from_arrays(out, [*CELL, "role", "home", "uid"])
+
+    return written(small_batches(dealt).mapInArrow(run, "label string, list int, base int, ask int, role int, home boolean, uid long"), "vector-survivors")
+
+
+def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node that the links (a, b) of n nodes lead to, for each node."""
+    low = np.arange(n)
+    while True:
+        after = low.copy()
+        np.minimum.at(after, a, low[b])
+        np.minimum.at(after, b, low[a])
+        after = after[after]
+        if (after == low).all():
+            return low
+        low = after
+
+
+def _reranked(survivors: DataFrame, groups: DataFrame, dims: int, cosine: float) -> DataFrame:
+    """(uid, links, first, to) of every block's vectors with links; to is the smallest id they lead to in the block."""
+    rows = survivors.join(groups.select("uid", "first", "copies", "v"), "uid").select(*CELL, "role", "home", "uid", "first", "copies", "v")
+    rows = rows.repartition(*CELL).sortWithinPartitions(*CELL, "role", "uid")
+
+    def run(batches):
+        for _, block in runs(batches, 4):
+            n = int((block["role"].to_numpy() == 0).sum())
+            uid, first, copies, home = (block[c].to_numpy() for c in ("uid", "first", "copies", "home"))
+            x, pairs = _unit(_matrix(block["v"], dims)), []
+            for i in range(0, n, 256):
+                linked = x[i : min(n, i + 256)] @ x[n:].T >= cosine
+                linked &= ~home[n:].astype(bool) | (uid[i : min(n, i + 256), None] < uid[n:])
+                a, b = np.nonzero(linked)
+                pairs.append((a + i, b + n))
+            a, b = (np.concatenate(p) for p in zip(*pairs, strict=True)) if pairs else (np.empty(0, int),) * 2
+            if not len(a):
+                continue
+            # A vector may be a member and a visitor here: one node. Nodes by their ids, so that the smallest comes first.
+            order, at = np.unique(np.stack([first, uid], 1), axis=0, return_inverse=True)
+            a, b, weight = at.ravel()[a], at.ravel()[b], np.zeros(len(order), np.int64)
+            weight[at.ravel()] = copies
+            links = np.bincount(a, weight[b], len(order)) + np.bincount(b, weight[a], len(order))
+            some, low = np.flatnonzero(links), _least(a, b, len(order))
+            yield pa.RecordBatch.from_arrays([pa.array(order[some, 1]), pa.array(links[some].astype(np.int64)), pa.array(order[some, 0]), pa.array(order[low[some], 0])], ["uid", "links", "first", "to"])
+
+    return written(small_batches(rows).mapInArrow(run, "uid long, links long, first long, to long"), "vector-links")
+
+
+def _met(groups: DataFrame, dims: int, n: int, most: int, cosine: float, sure: float) -> DataFrame:
+    """(uid, links, first, to) of the groups: n vectors of length dims, `most` of them in the largest label."""
+    lists = int(LISTS * most**0.5) + 1
+    wanted = max(1, min(max(SAMPLE, PER_LIST * lists), MOST, SAMPLE_BYTES // (4 * dims)))
+    cut = (1 << 30) if n <= wanted else (1 << 30) * wanted // n
+    mark = F.xxhash64("v")
+    sample = groups.where(F.pmod(mark, F.lit(1 << 30)) < cut).select("v", mark.alias("mark"), "uid").toArrow()  # about `wanted` vectors
+    x = _unit(_matrix(sample["v"], dims))[np.lexsort((sample["uid"].to_numpy(), sample["mark"].to_numpy()))]
+    index = Index(x, lists, cosine, sure)
+    return _reranked(_survivors(_indexed(groups, index), index), groups, dims, cosine)
+
+
+def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, sure: float = SURE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     Vectors link if their labels are equal and not null, their lengths equal, and their cosine, in double precision, is
@@ -194,26 +243,25 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     their own component and kept. Each length has an index of its own. Equal vectors count one by one but are compared
     once. Rows with a null id link with nothing and have a null component. Rows that share an id count each; their
     components join. n_links counts other rows. Other columns aren't read.
+
+    `sure` says how many lists are probed; infinity probes by an exact bound, and no link is lost.
     """
     v = rows.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
     bad = "coalesce(exists(v, x -> x is null or isnan(x) or abs(x) = double('inf')), true) or coalesce(forall(v, x -> x = 0), true)"
-    v = written(v.withColumn("whole", ~F.expr(bad) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()), "vectors")
-    # Equal vectors of a label are one: the smallest id, with how many there are. -0.0 counts as 0.0.
-    same = F.xxhash64("label", F.expr("transform(v, x -> x + 0.0D)"))
-    v = v.withColumn("same", F.when(F.col("whole"), same))
-    groups = v.where("whole").groupBy("same", "label", F.expr("transform(v, x -> x + 0.0D)").alias("v")).agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    groups = written(groups, "vector-groups")
-    if groups.isEmpty():
-        return v.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    # A length with one group has nothing to compare. Lengths are few; each is worked through alone.
-    lengths = groups.groupBy(F.size("v").alias("dims")).agg(F.count("*").alias("n")).where("n > 1").orderBy("dims").collect()
-    parts = [_met(groups.where(F.size("v") == r.dims), r.dims, cosine).withColumn("dims", F.lit(r.dims)) for r in lengths]
-    met = reduce(DataFrame.union, parts, groups.where("false").select(F.col("first").alias("vec_id"), F.col("copies").alias("links"), F.col("first").alias("to"), F.size("v").alias("dims")))
-    links = met.groupBy(F.col("vec_id").alias("first"), "dims").agg(F.sum("links").alias("links"))
-    classes = components(met.where("vec_id <> to").select(F.col("vec_id").alias("u"), F.col("to").alias("v")), "vectors")
-    found = groups.select("same", "first", "copies", F.size("v").alias("dims")).join(links, ["first", "dims"], "left").join(classes.withColumnRenamed("node", "first"), "first", "left")
-    found = written(found.select(F.col("same").alias("of"), "first", "copies", "links", "component"), "vector-classes")
-    out = v.select("vec_id", "same").join(found, F.col("same") == F.col("of"), "left")
+    v = v.withColumn("whole", ~F.expr(bad) & F.col("vec_id").isNotNull() & F.col("label").isNotNull()).withColumn("v", F.expr("transform(v, x -> x + 0.0D)"))  # -0.0 counts as 0.0
+    # Equal vectors of a label are one: the smallest id, with how many there are. 128 bits of hash lead back to it.
+    v = written(v.withColumns({f"same{i}": F.when(F.col("whole"), F.xxhash64(F.lit(i), "label", "v")) for i in (1, 2)}), "vectors")
+    groups = v.where("whole").groupBy("same1", "same2", "label", "v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    groups = written(groups.withColumn("uid", F.monotonically_increasing_id()), "vector-groups")
+    # Lengths are few; each is worked through alone. One with no label of two groups has nothing to compare.
+    sizes = groups.groupBy(F.size("v").alias("dims"), "label").agg(F.count("*").alias("n")).groupBy("dims").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where("most > 1").orderBy("dims").collect()
+    parts = [_met(groups.where(F.size("v") == r.dims), r.dims, r.n, r.most, cosine, sure) for r in sizes]
+    met = reduce(DataFrame.union, parts, v.where("false").select(*[F.lit(0).cast("long").alias(c) for c in ("uid", "links", "first", "to")]))
+    links = met.groupBy("uid").agg(F.sum("links").alias("links"))
+    classes = components(met.where("first <> to").select(F.col("first").alias("u"), F.col("to").alias("v")), "vectors")
+    found = groups.select("same1", "same2", "uid", "first", "copies").join(links, "uid", "left").join(classes.withColumnRenamed("node", "first"), "first", "left")
+    found = written(found.select(F.col("same1").alias("of1"), F.col("same2").alias("of2"), "first", "copies", "links", "component"), "vector-classes")
+    out = v.select("vec_id", "same1", "same2").join(found, (F.col("same1") == F.col("of1")) & (F.col("same2") == F.col("of2")), "left")
     n_links = F.coalesce(F.col("links"), F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))
     component = F.coalesce("component", "first", "vec_id")
     return out.select("vec_id", n_links.cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

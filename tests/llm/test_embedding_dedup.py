@@ -51,7 +51,8 @@ def found(spark, data):
 
 @pytest.mark.parametrize("block", [16, 1024])
 def test_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(ed, "BLOCK", block)
+    monkeypatch.setattr(ed, "MEMBERS", block)
+    monkeypatch.setattr(ed, "VISITORS", 2 * block)
     assert found(spark, rows()) == brute(rows())
 
 
@@ -68,15 +69,41 @@ def test_every_length_is_compared(spark):
     assert found(spark, short + long_) == sorted(want, key=str)
 
 
-def test_bounds_lose_nothing():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(2000, 16))
-    x = np.concatenate([x, x[:500] + rng.normal(size=(500, 16)) * 0.08])
+def test_very_long_vectors_and_shared_ids(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6, 4000))
+    x[1] = x[0] + 0.1 * x[1]
+    data = [(i, v.tolist(), 1) for i, v in enumerate(x)] + [(9, [1.0, 0.0], 1), (9, [0.0, 1.0], 1), (10, [1.0, 0.01], 1), (11, [0.01, 1.0], 1), (12, [-0.0, 1.0], 1)]
+    assert found(spark, data) == [(0, 1, 0), (1, 1, 0), (10, 1, 9), (11, 2, 9), (12, 2, 9), (2, 0, 2), (3, 0, 3), (4, 0, 4), (5, 0, 5), (9, 1, 9), (9, 2, 9)]
+
+
+def near_copies(n, dims=64, seed=1):
+    """n vectors in as many directions, a quarter of them with a copy at a cosine of 0.93 to 0.99."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, dims))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    index = ed.Index(x[:1500].copy(), 0.93)
-    own, probes = index.probes(x)
+    aside = rng.normal(size=(n // 4, dims))
+    aside -= (aside * x[: n // 4]).sum(1)[:, None] * x[: n // 4]
+    aside /= np.linalg.norm(aside, axis=1)[:, None]
+    c = rng.uniform(0.9301, 0.99, n // 4)[:, None]
+    return np.concatenate([x, c * x[: n // 4] + np.sqrt(1 - c * c) * aside])
+
+
+def test_exact_bounds_lose_nothing():
+    x = near_copies(2000, 16)
+    index = ed.Index(x[:1500].copy(), 40, 0.93, math.inf)
+    own, visits = index.visits(x)
+    codes, square, miss = index.code(x, own)
     pairs = np.argwhere(np.triu(x @ x.T >= 0.93, 1))
-    assert len(pairs) > 300 and all(probes[i, own[j]] and probes[j, own[i]] for i, j in pairs)
-    for i, j in pairs[:100]:
-        codes, miss = index.code(x[j : j + 1], own[j])
-        assert index.near(x[i : i + 1], codes, miss, own[j])[0, 0]
+    assert len(pairs) >= 500
+    for i, j in pairs:
+        i, j = (i, j) if own[i] <= own[j] else (j, i)
+        assert own[j] in visits[i] and index.near(x[j : j + 1].astype(np.float32), own[[i]], codes[[i]], square[[i]], miss[[i]])[0, 0]
+
+
+def test_recall(spark):
+    """All rows indexed, default probes, against brute force."""
+    x = near_copies(3000)
+    docs = spark.createDataFrame([(i, v, 1) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>, label int")
+    links = (np.triu(x @ x.T >= 0.93, 1).sum(), sum(r.n_links for r in ed.near_duplicates(docs).collect()) / 2)
+    assert 0.99 * links[0] <= links[1] <= links[0]
