@@ -23,8 +23,10 @@ DIMENSIONS, GRAM, SYMBOLS, SEED = 2048, 3, 128, 20240229
 #: Letters that are worked on at once, and n-gram kinds whose vectors are made at once.
 SLAB, KINDS = 1 << 19, 2048
 UNKNOWN = "und"
-#: The score below which a text counts as no known language where documents are kept or not.
-LEAST = 0.05
+#: Where documents are kept or not: the score below which no text counts as in a known language; how much of the lowest score
+#: of learned texts of its length (by powers of two) a text needs besides; texts that this is taken from, about, and how
+#: many a length needs among them, else the next shorter length counts.
+LEAST, SHARE, CALIBRATION, ENOUGH = 0.05, 0.9, 8192, 30
 
 
 def symbol_table() -> np.ndarray:
@@ -57,17 +59,17 @@ class Profiles:
         return out.astype(np.float32)
 
     def codes(self, text: str):
-        """N-gram codes of a text, in slabs; nothing at all if it has no letter."""
+        """N-gram codes of a text, in slabs, each n-gram once; nothing at all if it has no letter. The text's ends count as
+        no letter, and a run of what is no letter as one symbol, over the borders of slabs too."""
+        held = np.zeros(1, np.uint8)
         for at in range(0, len(text), SLAB):
-            part = text[max(0, at - GRAM) : at + SLAB]
-            s = self.table[np.frombuffer(part.encode("utf-32-le", "replace"), np.uint32)]
-            if not s.any():
-                continue
-            s = np.concatenate(([0], s, [0])) if at == 0 or at + SLAB >= len(text) else s
-            s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))].astype(np.int32)
+            s = self.table[np.frombuffer(text[at : at + SLAB].encode("utf-32-le", "replace"), np.uint32)]
+            s = np.concatenate((held, s, [0] * (at + SLAB >= len(text)))).astype(np.int32)
+            s = s[np.concatenate(([True], (s[1:] != 0) | (s[:-1] != 0)))]
             n = len(s) - GRAM + 1
             if n > 0:
                 yield sum(s[i : i + n] * SYMBOLS ** (GRAM - 1 - i) for i in range(GRAM))
+            held = s[max(0, len(s) - GRAM + 1) :]
 
     def bundle(self, rows: list[int], codes: list[np.ndarray], n: int) -> np.ndarray:
         """Sums of n-gram vectors: row i of the result takes those codes whose entry in rows is i."""
@@ -171,18 +173,49 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
     return map_rows(docs.select(id_col, text_col), make, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], least: float = LEAST, text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all their columns, whose text is in a learned language with a score of at least least.
-    Null and letterless texts go. Rows are judged where they are; nothing is shuffled."""
+def score_bounds(labelled: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang") -> list[float]:
+    """The score that keep_known() wants of a text, by the power of two of its length: SHARE of the lowest that a learned
+    text of that length has which is told rightly. From about CALIBRATION of the labelled rows, by hash of their texts. A
+    length with fewer than ENOUGH of them takes the bound of the next shorter one, as scores rise with length; without any
+    it is LEAST, and never less."""
+    rows = labelled.where(F.length(text_col) > 0).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    part = max(1, labelled.count() // CALIBRATION)
+    names, units = list(prototypes), unit_rows(prototypes)
+
+    def make():
+        profiles = worker_profiles()
+
+        def step(columns):
+            texts, langs = columns
+            found = [x for _, p in profiles.of(texts) for x in zip(*nearest(p, names, units), strict=True)]
+            kept = [(len(t).bit_length() - 1, score) for t, lang, (name, score) in zip(texts, langs, found, strict=True) if lang == name]
+            return [[k for k, _ in kept], [x for _, x in kept]]
+
+        return step
+
+    lows = map_rows(rows.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0), make, "length int, score double")
+    seen = {r.length: r for r in lows.groupBy("length").agg(F.count("*").alias("n"), F.min("score").alias("low")).collect()}  # at most 32
+    out = []
+    for length in range(32):
+        r = seen.get(length)
+        out.append(max(LEAST, SHARE * r.low) if r and r.n >= ENOUGH else out[-1] if out else LEAST)
+    return out
+
+
+def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], bounds: list[float] | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, whose text is in a learned language: with the score that bounds (of
+    score_bounds()) wants for its length, or LEAST without them. Null and letterless texts go. Rows are judged where
+    they are; nothing is shuffled."""
     names = list(prototypes)
+    bounds = bounds or [LEAST] * 32
 
     @F.pandas_udf("boolean")
     def known(text: pd.Series) -> pd.Series:
         out = np.zeros(len(text), bool)
-        profiles, at = worker_profiles(), 0
-        for _, x in profiles.of(text.tolist()):
-            langs, scores = nearest(x, names, rows)
-            out[at : at + len(x)] = [lang != UNKNOWN and s >= least for lang, s in zip(langs, scores, strict=True)]
+        profiles, at, texts = worker_profiles(), 0, text.tolist()
+        for _, x in profiles.of(texts):
+            found = zip(texts[at : at + len(x)], *nearest(x, names, rows), strict=True)
+            out[at : at + len(x)] = [lang != UNKNOWN and score >= bounds[len(t).bit_length() - 1] for t, lang, score in found]
             at += len(x)
         return pd.Series(out)
 

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pytest
 from conftest_path import documents
 from sedimenta.llm import language_id as li
 
@@ -42,9 +44,61 @@ def test_bundle_is_the_sum_of_bound_vectors():
     assert (p.bundle([0], [codes], 1)[0] == want).all()
 
 
-def test_slabs_cover_long_texts(monkeypatch):
+def test_slabs_change_nothing(monkeypatch):
     p = li.Profiles()
-    text = "the quick brown fox " * 50
-    whole = sum(len(c) for c in p.codes(text))
-    monkeypatch.setattr(li, "SLAB", 64)
-    assert abs(sum(len(c) for c in p.codes(text)) - whole) <= len(text) // 64 * 4
+    texts = ["the quick brown fox " * 50, "a" * 129, "x" + " " * 200 + "y", "!" * 64 + "ab" + "?" * 64, "é" * 64, "ab cd" * 13 + "  ", "." * 300, ""]
+    whole = [np.concatenate([*p.codes(t), []]).tolist() for t in texts]
+    for slab in (1, 2, 7, 64):
+        monkeypatch.setattr(li, "SLAB", slab)
+        assert [np.concatenate([*p.codes(t), []]).tolist() for t in texts] == whole
+    assert len(whole[0]) == 999 and whole[6] == whole[7] == []
+
+
+def brute_profile(p, text):
+    """The bundle of a text's n-grams, one at a time."""
+    symbols = [0]
+    for c in text or "":
+        s = int(p.table[ord(c)])
+        if s or symbols[-1]:
+            symbols.append(s)
+    if symbols[-1]:
+        symbols.append(0)
+    out = np.zeros(li.DIMENSIONS, np.int64)
+    for i in range(len(symbols) - li.GRAM + 1):
+        bound = np.ones(li.DIMENSIONS, np.int64)
+        for j in range(li.GRAM):
+            bound *= np.roll(p.placed[li.GRAM - 1][symbols[i + j]].astype(np.int64), li.GRAM - 1 - j)
+        out += bound
+    return out
+
+
+def test_equals_brute_force(spark):
+    p, rows = li.Profiles(), corpus()[:60] + [(900, "", "en"), (901, None, "en"), (902, "12 !", "de"), (903, "Ünïcödé 中文 straße", "de"), (904, "a", "fr"), (905, "wort", None)]
+    want = {lang: sum(brute_profile(p, t) for _, t, x in rows if x == lang and t) for lang in ("de", "en", "fr")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = li.train(docs)
+    assert list(got) == ["de", "en", "fr"] and all((got[k] == want[k]).all() for k in got)
+    found = {r.doc_id: r for r in li.identify(docs, got).collect()}
+    for i, t, _ in rows:
+        x = brute_profile(p, t).astype(float)
+        cosines = {k: x @ v / (np.linalg.norm(x) * np.linalg.norm(v)) for k, v in want.items()} if x.any() else {}
+        best = max(cosines, key=lambda k: cosines[k]) if cosines else "und"
+        assert found[i].lang_pred == best and found[i].score == pytest.approx(max(0, cosines.get(best, 0)))
+
+
+def test_equal_cosines_go_to_the_first_name(spark):
+    docs = spark.createDataFrame([(1, "same words here", "xx"), (2, "same words here", "aa"), (3, "same words", None)], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in li.identify(docs, li.train(docs)).collect()} == {"aa"}
+
+
+def test_long_texts_in_an_unlearned_language_go(spark):
+    rng = random.Random(9)
+    alien = lambda n: " ".join("".join(rng.choices(["zx", "qw", "vk", "jy", "pp", "a"], k=3)) for _ in range(n))
+    rows = corpus() + [(1000 + i, alien(40), None) for i in range(5)] + [(2000, "the with", None), (2001, "der sch", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    prototypes = li.train(docs)
+    bounds = li.score_bounds(docs, prototypes)
+    assert bounds[:3] == [li.LEAST] * 3 and bounds[7] > 3 * li.LEAST
+    kept = {r.doc_id for r in li.keep_known(docs, prototypes, bounds).collect()}
+    assert kept == {r[0] for r in rows} - set(range(1000, 1005))
+    assert li.score_bounds(docs.where("false"), {}) == [li.LEAST] * 32
