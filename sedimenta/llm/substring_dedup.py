@@ -8,7 +8,9 @@
    words every 41 words of a segment make up the automata: any 50-word window of a segment holds one of them whole.
 4. stream: documents are dealt out in buckets; each bucket gets the segments whose marks its documents have, compiles
    its own Aho-Corasick automaton, and runs its documents through it. Around each phrase that is met, the document's
-   windows are looked up by their 128-bit hashes among those of the segments.
+   windows are looked up by their 128-bit hashes among those of the segments. A mark of over COMMON segments (a phrase
+   that stands in many passages) brings only those whose windows the bucket has. So a bucket holds at most COMMON
+   segments for each of its marks and one for each of its windows, whatever the corpus holds.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ PHRASE, STRIDE = 10, 41
 LETTERS = np.uint64(0x7FFFFFFF)
 #: Windows that start in one segment; bytes of text in a bucket.
 STARTS, BUCKET = 150, 5 << 20
+#: Segments of a mark beyond which windows deal them out.
+COMMON = 4
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -104,6 +108,37 @@ def segments(texts: DataFrame) -> DataFrame:
     return small_batches(texts.select("doc_id", "text", "owned")).mapInArrow(run, "seg string, owner long, words string, marks array<long>")
 
 
+def marked_windows(rows: DataFrame) -> DataFrame:
+    """(key, h1) of each window whose mark is one of the row's. rows: (key, text, marks)."""
+
+    def run(batches):
+        hashes = WordHashes()
+        for columns in slices(batches):
+            for key, text, marks in zip(*columns, strict=True):
+                h = hashes(words_of(text))
+                here = np.isin(window_marks(h), np.array(marks, np.int64).view(np.uint64))
+                found = np.unique(rolling(h, SPAN)[here]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.string()), pa.array(found)], ["key", "h1"])
+
+    return small_batches(rows.select("key", "text", "marks")).mapInArrow(run, "key string, h1 long")
+
+
+def dealt_segments(parts: DataFrame, texts: DataFrame, marks: DataFrame, buckets: int) -> DataFrame:
+    """(seg, bucket): which bucket gets which segment. parts: (seg, words, marks), texts: (doc_id, text), marks: those of
+    each document (doc_id, marks)."""
+    bucket = bucket_of("doc_id", buckets)
+    has = written(marks.select("doc_id", bucket, F.explode("marks").alias("mark")), "repeat-doc-marks")
+    of = written(parts.select("seg", F.explode("marks").alias("mark")), "repeat-segment-marks")
+    common = written(of.groupBy("mark").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("mark"), "repeat-common")
+    some = of.join(common, "mark", "left_anti").join(has.select("bucket", "mark").distinct(), "mark").select("seg", "bucket")
+    # Both sides by window: a window has one owner, and so about one segment.
+    own = lambda rows, by: rows.join(common, "mark", "left_semi").groupBy(by).agg(F.collect_set("mark").alias("marks"))  # noqa: E731  of one text
+    there = marked_windows(texts.select("doc_id", "text").join(own(has, "doc_id"), "doc_id").select(bucket.cast("string").alias("key"), "text", "marks")).distinct()
+    here = marked_windows(parts.select("seg", "words").join(own(of, "seg"), "seg").select(F.col("seg").alias("key"), F.col("words").alias("text"), "marks"))
+    rest = here.withColumnRenamed("key", "seg").join(there, "h1").select("seg", F.col("key").cast("int").alias("bucket"))
+    return some.union(rest).distinct()
+
+
 def hash_of(text: str) -> str:
     return hashlib.md5(text.encode()).hexdigest()[:12]
 
@@ -164,7 +199,7 @@ def stream(parts: DataFrame, texts: DataFrame, buckets: int) -> DataFrame:
     """(doc_id, sha, n_removed, kept) of the documents that lose words. parts: (bucket, owner, words); texts: (doc_id, text)."""
     rows = parts.select("bucket", F.lit(0).alias("role"), F.col("owner").alias("doc_id"), F.col("words").alias("text"))
     rows = rows.union(texts.select(bucket_of("doc_id", buckets), F.lit(1), "doc_id", "text"))
-    rows = rows.repartition(buckets, "bucket").sortWithinPartitions("bucket", "role")
+    rows = rows.repartitionById(buckets, F.col("bucket")).sortWithinPartitions("bucket", "role")  # a bucket, a task
 
     def run(batches):
         hashes, now, held, automaton = WordHashes(), None, [], None
@@ -214,8 +249,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     parts = written(segments(texts.select("doc_id", "text").join(owned, "doc_id")), "repeat-segments")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // BUCKET))
-    near = written(marks.select(bucket_of("doc_id", buckets), F.explode("marks").alias("mark")).distinct(), "repeat-bucket-marks")
-    dealt = parts.select("seg", F.explode("marks").alias("mark")).join(near, "mark").select("seg", "bucket").distinct()
+    dealt = dealt_segments(parts, texts, marks, buckets)
     cut = written(stream(dealt.join(parts.select("seg", "owner", "words"), "seg"), texts, buckets), "repeat-cuts")
     cut = cut.dropDuplicates(["doc_id", "sha"]).withColumnRenamed("doc_id", "cut_id").withColumnRenamed("sha", "cut_sha").withColumnRenamed("n_removed", "cut_n").withColumnRenamed("kept", "cut_kept")
     out = found.join(cut, (F.col("doc_id") == F.col("cut_id")) & (F.col("sha") == F.col("cut_sha")), "left")

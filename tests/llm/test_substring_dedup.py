@@ -35,9 +35,10 @@ def overlapping():
     return [(i, " ".join(t)) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("starts", [3, 150])
-def test_equals_brute_force(spark, monkeypatch, messy, starts):
+@pytest.mark.parametrize("starts,common", [(3, 4), (150, 4), (150, 0)])
+def test_equals_brute_force(spark, monkeypatch, messy, starts, common):
     monkeypatch.setattr(sd, "STARTS", starts)
+    monkeypatch.setattr(sd, "COMMON", common)
     assert found(messy) == brute(documents())
     rows = overlapping()
     for order in (rows, [(20 - i, t) for i, t in rows]):
@@ -57,3 +58,15 @@ def test_kept_texts(spark, messy, empty):
             assert kept[d].text == overlapping()[d][1]
     assert sd.without_repeats(messy).columns == messy.columns
     assert {r.doc_id for r in sd.without_repeats(messy).collect()} >= {1, 8, 9, 10, 11, None}
+
+
+def test_a_phrase_of_many_passages_deals_few_segments(spark, monkeypatch):
+    """40 passages share a phrase, each in two documents: buckets get their own passages, not all that have the phrase."""
+    monkeypatch.setattr(sd, "BUCKET", 3000)
+    phrase = prose(1, 30)
+    rows = [(i, f"{prose(300 + i % 40, 40)} {phrase} {prose(400 + i % 40, 40)} {prose(500 + i, 5)}") for i in range(80)]
+    dealt = []
+    held = sd.dealt_segments
+    monkeypatch.setattr(sd, "dealt_segments", lambda *a: dealt.append(held(*a)) or dealt[0])
+    assert found(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
+    assert dealt[0].count() <= 80 and dealt[0].select("bucket").distinct().count() > 10
