@@ -17,6 +17,7 @@ from .functions import text as txt
 from .operators import analysis, answer, dense, enrich, evaluate, fusion, graph, parsing, sparse
 from .operators.joins import reused
 from .options import Options
+from .sources import files
 
 OPTIONS = Options()
 #: A dictionary of frequent corpus words, ours, next to the default one: the tables name few products.
@@ -245,9 +246,15 @@ def chunk_ids(spark, d):
     return _doc_chunks(spark, d).select("chunk_id", "document_id", "title", "chunk_type", F.length("text").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query("vector_payload", f"WITH {CHUNKS_SQL} SELECT chunk_id, doc_id AS document_id, source AS title, 'prose' AS chunk_type, 'general' AS doc_family, '' AS heading_path_text, length(text)::INT AS n_chars FROM chunks")
+def vector_payload(spark, d):
+    return enrich.payload(_enriched(spark, d)).select("chunk_id", "document_id", "title", "chunk_type", "doc_family", "heading_path_text", F.length("text").alias("n_chars"))
+
+
 @query("ingest_manifest", f"WITH {CHUNKS_SQL} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, 64 AS vector_size FROM chunks")
 def ingest_manifest(spark, d):
-    return _doc_chunks(spark, d).agg(F.count_distinct("document_id").alias("documents"), F.count("*").alias("chunks"), F.lit(64).alias("vector_size"))
+    chunks = reused(_doc_chunks(spark, d).select("document_id"))
+    return files.manifest(chunks.distinct(), chunks, 64)
 
 
 # ---- sparse retrieval
@@ -264,7 +271,8 @@ SCORE_SQL = "s AS (SELECT qid, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 +
 
 
 def _docs(spark, d):
-    return sparse.tokenised(table(spark, d, "documents"), "doc_id", F.col("text"))
+    """Postings of the documents; an engine reads stored ones, so tokens are found once here too."""
+    return reused(sparse.tokenised(table(spark, d, "documents"), "doc_id", F.col("text")))
 
 
 def _questions(spark, d):

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import catalog as c
 from .catalog import CORPUS, OPTIONS, query, table
 from .functions import entities as ent
-from .operators import analysis, answer, dense, evaluate, fusion, graph
+from .operators import analysis, answer, dense, enrich, evaluate, fusion, graph, sparse
 from .operators.joins import reused
 from .plans import engine
 from .sources import store
@@ -54,25 +54,16 @@ _HITS = "hits AS (SELECT qid, chunk_id, 'dense' AS src, rank, score FROM dh UNIO
 _ALL = f"WITH {c.GRAPH_SQL}, {c.EDGES_SQL}, {c.NEAR_SQL}, {c.SEEDS_SQL}, {c.GSEARCH_SQL}, {_QE}, {_REWRITTEN}, {_FITS}, {_SPARSE}, {_DENSE}, {_HITS}"
 
 
-def _numbered(spark, d):
-    """Chunks with a number in the order of their ids, for ties of the dense search: documents and chunk numbers fit 40 and
-    20 bits. The SQL orders ids as text, so do the numbers here."""
-    from pyspark.sql import Window
-
-    chunks = c._enriched(spark, d)
-    order = Window.partitionBy(F.substring("chunk_id", 1, 1)).orderBy("chunk_id")
-    return reused(chunks.withColumn("n", F.ascii(F.substring("chunk_id", 1, 1)).cast("long") * F.lit(1 << 40) + F.row_number().over(order)))
-
-
 def _analysed(spark, d):
     asked = analysis.analyze(c._questions(spark, d), CORPUS)
     return reused(asked.withColumn("query_mode", F.element_at(F.array(*map(F.lit, ("classic", "mixed", "graph_first"))), (F.col("qid") % 3 + 1).cast("int"))))
 
 
 def _hits(spark, d):
-    chunks, asked, embedder = _numbered(spark, d), _analysed(spark, d), dense.HashEmbedder()
-    vectors = chunks.select("chunk_id", dense.embed(F.col("text"), embedder).alias("v"))
-    hits = engine.candidates(asked, chunks, vectors, graph.nodes(chunks), graph.edges(chunks), graph.links(chunks), embedder, OPTIONS, "hybrid")
+    chunks, asked, embedder = reused(c._enriched(spark, d)), _analysed(spark, d), dense.HashEmbedder()
+    vectors = reused(chunks.select("chunk_id", dense.embed(F.col("text"), embedder).alias("v")))
+    postings = reused(sparse.tokenised(chunks, "chunk_id", enrich.search_text()))
+    hits = engine.candidates(asked, chunks, vectors, postings, graph.nodes(chunks), graph.edges(chunks), graph.links(chunks), embedder, OPTIONS, "hybrid")
     return chunks, asked, reused(hits)
 
 
@@ -153,6 +144,47 @@ def citations_answer(spark, d):
     return out.select("qid", F.coalesce(F.array_join(F.transform("citations", lambda x: x["chunk_id"]), ","), F.lit("")).alias("cited"), F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
 
 
+_RESPONSE = f"""{_RANKED}, res AS (SELECT qid, string_agg(chunk_id || ':' || round(f, 4)::DECIMAL(9, 4) || ':' || rerank::DECIMAL(9, 6), ',' ORDER BY rank) FILTER (rank <= 5) AS retrieved, count(*) AS n_ranked FROM ranked GROUP BY qid)
+SELECT rw.qid, mode AS query_mode, md5(rew) AS rewritten_md5, coalesce(retrieved, '') AS retrieved, coalesce(n_ranked, 0)::INT AS n_ranked, (SELECT count(DISTINCT field) FROM qe WHERE qe.qid = rw.qid)::INT AS n_filters FROM rw LEFT JOIN res USING (qid)"""
+
+
+@query("query_response", _RESPONSE)
+def query_response(spark, d):
+    asked, ranked = _ranked(spark, d)
+    facts = spark.createDataFrame([], "qid long, facts array<string>")
+    out = answer.response(asked, answer.fallback(asked, ranked), reused(ranked), facts)
+    score = lambda x, p: F.format_string(f"%.{p}f", x)
+    listed = F.transform("retrieved_chunks", lambda x: F.concat_ws(":", x["chunk_id"], score(F.round(x["fused_score"], 4), 4), score(x["rerank_score"], 6)))
+    n_filters = sum((F.size(f"filters.{f}") > 0).cast("int") for f in ent.FIELDS)
+    return out.select("qid", "query_mode", F.md5(F.col("rewritten_query").cast("binary")).alias("rewritten_md5"), F.array_join(listed, ",").alias("retrieved"), F.size("ranked_sources").alias("n_ranked"), n_filters.alias("n_filters"))
+
+
+# ---- question sets from a corpus
+
+@query("routing_cases", "SELECT 'routing-' || page_id AS case_key, 'Где описано «' || page_id % 7 || '»?' AS question, 'Это описано на странице «' || page_id % 7 || '».' AS reference_answer, CASE WHEN page_id % 3 = 0 THEN url ELSE url || '?pageId=' || page_id END AS source, 'routing,page_' || CASE WHEN page_id % 3 = 0 THEN 'unknown' ELSE page_id::VARCHAR END AS tags FROM pages")
+def routing_cases(spark, d):
+    url = F.when(F.col("page_id") % 3 == 0, F.col("url")).otherwise(F.concat("url", F.lit("?pageId="), F.col("page_id").cast("string")))
+    pages = table(spark, d, "pages").select(F.col("page_id").alias("document_id"), (F.col("page_id") % 7).cast("string").alias("title"), url.alias("source_url"))
+    return store.routing_cases(pages).select("case_key", "question", "reference_answer", F.element_at("required_sources", 1).alias("source"), F.array_join("tags", ",").alias("tags"))
+
+
+@query("reworded_cases", """WITH q AS (SELECT 'case-' || (n_nationkey % 7) AS case_key, n_name, row_number() OVER (PARTITION BY n_nationkey % 7 ORDER BY n_nationkey DESC) AS n FROM nation)
+SELECT item_id, 'case-' || (item_id % 9) AS case_key, 'nation-' || n_name || ',hard,b' || item_id % 2 || ',page_unknown' AS tags, 'n' || item_id AS notes FROM benchmark JOIN q ON q.case_key = 'case-' || (item_id % 9) WHERE n = 1""")
+def reworded_cases(spark, d):
+    key = F.concat(F.lit("case-"), (F.col("item_id") % 9).cast("string"))
+    cases = table(spark, d, "benchmark").select("item_id", key.alias("case_key"), F.col("text").alias("question"), F.concat(F.lit("b"), (F.col("item_id") % 2).cast("string")).alias("bucket"), F.concat(F.lit("n"), F.col("item_id").cast("string")).alias("notes"))
+    questions = _set_questions(spark, d).withColumn("tags", F.array(F.concat(F.lit("nation-"), "question"))).withColumn("required_sources", F.expr("cast(array() as array<string>)"))
+    return store.reworded(questions, cases, "hard").select("item_id", "case_key", F.array_join("tags", ",").alias("tags"), "notes")
+
+
+@query("checked_questions", """SELECT n_nationkey AS position, CASE n_nationkey % 3 WHEN 0 THEN 'key ' || n_nationkey WHEN 1 THEN 'id' || n_nationkey ELSE 'case-' || n_nationkey END AS case_key, n_name AS question, 0 AS n_tags, false AS expected_refusal FROM nation""")
+def checked_questions(spark, d):
+    k = F.col("n_nationkey")
+    none = F.lit(None)
+    rows = table(spark, d, "nation").select(F.when(k % 3 == 1, F.concat(F.lit("id"), k.cast("string"))).alias("id"), F.when(k % 3 == 0, F.concat(F.lit(" key "), k.cast("string"), F.lit(" "))).when(k % 3 == 2, "").alias("case_key"), k.cast("int").alias("position"), F.concat(F.lit("  "), "n_name").alias("question"), none.cast("boolean").alias("expected_refusal"), none.cast("array<array<string>>").alias("required_any"), *[none.cast("array<string>").alias(x) for x in store.LISTS])
+    return store.checked(rows).select("position", "case_key", "question", F.size("tags").alias("n_tags"), "expected_refusal")
+
+
 # ---- evaluation: user turns are questions of cases, the assistant's answers what is judged
 
 _CASES_SQL = """cs AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer, u.conv_id % 3 = 0 AS expected_refusal, u.conv_id % 5 AS k, u.turn % 4 AS j, string_split(u.text, ' ') AS w
@@ -227,7 +259,7 @@ def _sets(spark, d):
 
 
 def _set_questions(spark, d):
-    return table(spark, d, "nation").where("n_regionkey <> 3").select(F.col("n_regionkey").cast("string").alias("set_id"), F.col("n_nationkey").alias("position"), F.concat(F.lit("case-"), (F.col("n_nationkey") % 7).cast("string")).alias("case_key"), F.col("n_name").alias("question"), F.lit("").alias("notes"), F.expr("cast(array() as array<string>)").alias("tags"))
+    return table(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("set_id"), F.col("n_nationkey").alias("position"), F.concat(F.lit("case-"), (F.col("n_nationkey") % 7).cast("string")).alias("case_key"), F.col("n_name").alias("question"), F.lit("").alias("notes"), F.expr("cast(array() as array<string>)").alias("tags"))
 
 
 def _runs(spark, d):
@@ -237,12 +269,12 @@ def _runs(spark, d):
 _RUNS_SQL = "rn AS (SELECT o_orderkey::VARCHAR AS id, (o_custkey % 5)::VARCHAR AS set_id, CASE WHEN o_orderstatus = 'F' THEN 'bm25' ELSE 'hybrid' END AS retrieval_mode, o_orderdate AS created_at, o_totalprice AS average_score FROM orders)"
 
 
-@query("list_question_sets", f"WITH {_RUNS_SQL}, q AS (SELECT n_regionkey, count(*) AS n FROM nation WHERE n_regionkey <> 3 GROUP BY 1), r AS (SELECT set_id, max(created_at) AS last FROM rn GROUP BY 1) SELECT r_regionkey::VARCHAR AS id, r_name AS name, coalesce(n, 0) AS question_count, strftime(last, '%Y-%m-%d') AS last_run FROM region LEFT JOIN q ON n_regionkey = r_regionkey LEFT JOIN r ON set_id = r_regionkey::VARCHAR")
+@query("list_question_sets", f"WITH {_RUNS_SQL}, q AS (SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1), r AS (SELECT set_id, max(created_at) AS last FROM rn GROUP BY 1) SELECT r_regionkey::VARCHAR AS id, r_name AS name, coalesce(n, 0) AS question_count, strftime(last, '%Y-%m-%d') AS last_run FROM region LEFT JOIN q ON n_regionkey = r_regionkey LEFT JOIN r ON set_id = r_regionkey::VARCHAR")
 def list_question_sets(spark, d):
     return store.list_sets(_sets(spark, d), _set_questions(spark, d), _runs(spark, d)).select("id", "name", "question_count", F.date_format("last_run_at", "yyyy-MM-dd").alias("last_run"))
 
 
-@query("question_set_detail", "SELECT r_regionkey::VARCHAR AS id, r_name AS name, coalesce((SELECT string_agg(n_name, ',' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey AND n_regionkey <> 3), '') AS questions FROM region")
+@query("question_set_detail", "SELECT r_regionkey::VARCHAR AS id, r_name AS name, coalesce((SELECT string_agg(n_name, ',' ORDER BY n_nationkey) FROM nation WHERE n_regionkey = r_regionkey), '') AS questions FROM region")
 def question_set_detail(spark, d):
     rows = store.set_detail(_sets(spark, d), _set_questions(spark, d))
     return rows.select("id", "name", F.coalesce(F.array_join(F.transform("questions", lambda q: q["question"]), ","), F.lit("")).alias("questions"))
@@ -271,7 +303,7 @@ def seed_if_absent(spark, d):
     return store.absent(seeds, _sets(spark, d))
 
 
-@query("research_cases", "WITH q AS (SELECT 'case-' || (n_nationkey % 7) AS case_key, n_regionkey::VARCHAR AS set_id, row_number() OVER (PARTITION BY n_nationkey % 7 ORDER BY n_nationkey DESC) AS n FROM nation WHERE n_regionkey <> 3) SELECT item_id, q.case_key, set_id FROM benchmark JOIN q ON q.case_key = 'case-' || (item_id % 9) WHERE n = 1")
+@query("research_cases", "WITH q AS (SELECT 'case-' || (n_nationkey % 7) AS case_key, n_regionkey::VARCHAR AS set_id, row_number() OVER (PARTITION BY n_nationkey % 7 ORDER BY n_nationkey DESC) AS n FROM nation) SELECT item_id, q.case_key, set_id FROM benchmark JOIN q ON q.case_key = 'case-' || (item_id % 9) WHERE n = 1")
 def research_cases(spark, d):
     cases = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("case-"), (F.col("item_id") % 9).cast("string")).alias("case_key"), F.col("text").alias("question"))
     return store.research_cases(cases, _set_questions(spark, d)).select("item_id", "case_key", "set_id")

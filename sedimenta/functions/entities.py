@@ -43,9 +43,10 @@ def alias_tags(lowered: Column, aliases: dict[str, str]) -> Column:
 
 
 def entities(text: Column, dictionary: Dictionary) -> Column:
-    """A struct of one array a field."""
-    low = F.lower(text)
-    return F.struct(*[alias_tags(low, dictionary.aliases.get(f, {})).alias(f) for f in FIELDS[:-1]], symbols(text).alias("api_symbols"))
+    """A struct of one array a field. The text is put together and lowered once, not once an alias."""
+    make = lambda t: F.struct(*[alias_tags(t["low"], dictionary.aliases.get(f, {})).alias(f) for f in FIELDS[:-1]], symbols(t["text"]).alias("api_symbols"))
+    whole = F.transform(F.array(text), lambda t: F.struct(t.alias("text"), F.lower(t).alias("low")))
+    return F.element_at(F.transform(whole, make), 1)
 
 
 def merge(a: Column, b: Column) -> Column:

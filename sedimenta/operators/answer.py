@@ -51,3 +51,21 @@ def baseline(queries: DataFrame, hits: DataFrame, docs: DataFrame) -> DataFrame:
     found = queries.join(_listed(rows, entry), "qid", "left")
     head = F.concat(F.lit("Запрос: "), "question", F.lit("\n" + "\n".join(BASELINE_HEAD) + "\n"))
     return found.select("qid", F.when(F.col("listed").isNull(), NO_DOCUMENTS).otherwise(trim_space(F.concat(head, F.array_join("listed", "\n")))).alias("answer"))
+
+
+#: What a response says of each retrieved chunk.
+RETRIEVED = ("chunk_id", "title", "heading_path", "source_url", "chunk_type", "dense_score", "sparse_score", "graph_score", "fused_score", "rerank_score", "text")
+
+
+def response(asked: DataFrame, answers: DataFrame, ranked: DataFrame, facts: DataFrame) -> DataFrame:
+    """(qid, question, rewritten_query, filters, query_mode, routing_confidence, routing_reason, answer, graph_facts,
+    citations, retrieved_chunks, sources, ranked_sources), a row for each question. Lists are in order of rank and never null:
+    citations, chunks and sources (each once) of the final chunks, ranked_sources of all that were reranked. A question's
+    chunks are bounded by the options' counts."""
+    rows = ranked.groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "final", F.struct(*RETRIEVED).alias("c")))).alias("all"))
+    of = lambda rows, make: F.transform(rows, lambda r: make(r["c"]))
+    cited = lambda c: F.struct(*[c[f].alias(f) for f in ("source_url", "title", "heading_path", "chunk_id")])
+    final = F.filter("all", lambda r: r["final"])
+    rows = rows.select("qid", of(final, cited).alias("citations"), of(final, lambda c: c).alias("retrieved_chunks"), F.array_distinct(of(final, lambda c: c["source_url"])).alias("sources"), of(F.col("all"), lambda c: c["source_url"]).alias("ranked_sources"))
+    out = asked.select("qid", "question", "rewritten_query", "filters", "query_mode", "routing_confidence", "routing_reason").join(answers, "qid").join(facts.withColumnRenamed("facts", "graph_facts"), "qid", "left").join(rows, "qid", "left")
+    return out.withColumns({c: F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType)) for c in ("graph_facts", *rows.columns[1:])})

@@ -27,3 +27,8 @@ def enrich(chunks: DataFrame, dictionary: Dictionary) -> DataFrame:
 def search_text():
     """What a chunk is found by: title, headings, text, symbols and entity terms."""
     return F.concat_ws("\n", F.col("title"), F.array_join("heading_path", " "), F.col("text"), F.array_join("metadata.api_symbols", " "), F.array_join("metadata.entity_terms", " "))
+
+
+def payload(chunks: DataFrame) -> DataFrame:
+    """Chunks with their metadata as columns, as a vector store keeps them."""
+    return chunks.select(*[c for c in chunks.columns if c != "metadata"], *[f"metadata.{f}" for f in chunks.schema["metadata"].dataType.names if f not in chunks.columns])

@@ -95,4 +95,4 @@ def fuse(hits: DataFrame, queries: DataFrame, chunks: DataFrame, options, retrie
     rows = rows.withColumn("rerank_score", rerank(F.col("rewritten_query"), F.col("text")))
     after = Window.partitionBy("qid").orderBy(F.desc("rerank_score"), "place")
     rows = rows.withColumn("rank", F.row_number().over(after))
-    return rows.withColumn("final", F.col("rank") <= options.final_context_count).select("qid", "chunk_id", "title", "heading_path", "text", "source_url", "dense_score", "sparse_score", "graph_score", "fused_score", "rerank_score", "rank", "final")
+    return rows.withColumn("final", F.col("rank") <= options.final_context_count).select("qid", "chunk_id", "title", "heading_path", "text", "source_url", "chunk_type", "dense_score", "sparse_score", "graph_score", "fused_score", "rerank_score", "rank", "final")

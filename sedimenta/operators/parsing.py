@@ -1,8 +1,10 @@
 """Markdown pages to documents, documents to typed chunks."""
+
+import itertools
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, clean_inline, squeeze_lines, trim_space
@@ -46,20 +48,24 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 def clean_lines(docs: DataFrame, id_col: str = "document_id", text_col: str = "raw_markdown") -> DataFrame:
     """(id_col, clean_markdown): without the first line, comments and noise; code fences stay as they are.
 
-    A comment heading ends a page even inside a fence. Running flags are windows over a document's lines."""
-    rows = docs.select(id_col, F.posexplode(lines(F.col(text_col))).alias("at", "raw")).where("at > 0")
-    rows = rows.withColumn("line", F.regexp_replace("raw", rf"{SPACE}+$", "")).withColumn("bare", trim_space(F.col("line")))
-    upto = Window.partitionBy(id_col).orderBy("at")
-    fence = F.col("bare").startswith("```")
-    rows = rows.withColumn("cut", F.max((F.col("bare").startswith("## ") & F.contains("bare", F.lit("Comment"))).cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("fences", F.coalesce(F.sum(fence.cast("int")).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where("cut = 0")
-    noise = F.col("bare").isin(*NOISE) | F.col("bare").rlike(CONTENTS) | F.col("bare").rlike(IMAGE_HEADING)
-    for start in NOISE_STARTS:
-        noise = noise | F.col("bare").startswith(start)
-    rows = rows.where(fence | (F.col("fences") % 2 == 1) | ~noise)
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
-    kept = rows.groupBy(id_col).agg(squeeze_lines(joined).alias("clean_markdown"))
-    return docs.select(id_col).join(kept, id_col, "left").fillna("", ["clean_markdown"])
+    A comment heading ends a page even inside a fence. A page's lines stay in its row, so nothing is shuffled."""
+    rows = docs.select(id_col, F.transform(F.slice(lines(F.col(text_col)), 2, 1 << 30), lambda x: F.regexp_replace(x, rf"{SPACE}+$", "")).alias("all"))
+    rows = rows.withColumn("bare", F.transform("all", trim_space))
+    comment = F.array_position(F.transform("bare", lambda b: b.startswith("## ") & F.contains(b, F.lit("Comment"))), True)
+    rows = rows.withColumn("upto", F.when(comment > 0, comment - 1).otherwise(F.size("all")).cast("int"))
+    # Where fences are: a line lies in one if an odd number of them comes before it.
+    rows = rows.withColumn("fences", F.filter(F.transform("bare", lambda b, i: F.when(b.startswith("```"), i)), lambda i: i.isNotNull()))
+
+    def keep(x, i):
+        b = F.get("bare", i)
+        noise = b.isin(*NOISE) | b.rlike(CONTENTS) | b.rlike(IMAGE_HEADING)
+        for start in NOISE_STARTS:
+            noise = noise | b.startswith(start)
+        inside = F.size(F.filter("fences", lambda f: f < i)) % 2 == 1
+        return (i < F.col("upto")) & (b.startswith("```") | inside | ~noise)
+
+    clean = squeeze_lines(F.array_join(F.filter("all", keep), "\n"))
+    return rows.select(id_col, F.coalesce(clean, F.lit("")).alias("clean_markdown"))
 
 
 def _inline(text: str) -> str:
@@ -117,7 +123,7 @@ def scan_functions(markdown: str) -> list[tuple[str, list[str], str, str]]:
     rows = markdown.splitlines()
     starts = [i for i, r in enumerate(rows) if re.match(FUNCTION, r.strip())]
     found = []
-    for first, last in zip(starts, [*starts[1:], len(rows)], strict=True):
+    for first, last in itertools.pairwise([*starts, len(rows)]):
         part = rows[first:last]
         name = _inline(re.match(FUNCTION, part[0].strip())[1])
         sections = [_inline(m[2]) for r in part if (m := re.match(HEADING, r.strip())) and len(m[1]) == 3]

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import time
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.entities import FIELDS, Dictionary, matches
+from ..functions.entities import FIELDS, Dictionary
 from ..functions.scalar import uuid5
 from ..functions.text import clean_inline
 from ..operators import analysis, answer, dense, enrich, evaluate, fusion, graph, parsing, sparse
-from ..operators.joins import reused
+from ..operators.joins import join_small, release, reused
 from ..options import Options
 from ..sources import files
-from ..sources.store import Store
+from ..sources.store import Store, routing_cases
+from ..sources.tables import Tables
 
+#: The set of routing questions that start() makes of an index, and how many it has at most (a set is read as one batch).
+ROUTING_SET, ROUTING_CASES = "routing", 1000
 MODES = ("dense", "bm25", "bm25_baseline", "graph", "hybrid")
 
 
@@ -27,51 +31,45 @@ class NotFound(LookupError):
     """No such question set or run."""
 
 
-def admitted(filters: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(g, chunk_id): the chunks that each filter admits. filters: (g, filters), one row a distinct filter.
+def admitted(filters: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+    """(g, chunk_id): the chunks that each filter admits. filters: (g, filters), one row a distinct filter; filters that
+    name nothing admit all and give no rows.
 
     A chunk passes if it shares a value in every field that the filter names, so tags join tags and fields are counted;
-    no filter meets a chunk that it shares nothing with, but the empty filter, which admits all."""
+    no filter meets a chunk that it shares nothing with."""
     tags = lambda rows, col, *keep: rows.select(*keep, F.explode(F.flatten(F.array(*[_tags(F.col(f"{col}.{f}"), f) for f in FIELDS]))).alias("tag"))
     named = filters.select("g", "filters", sum(((F.size(f"filters.{f}") > 0).cast("int") for f in FIELDS), F.lit(0)).alias("fields"))
-    met = tags(chunks, "metadata", "chunk_id").join(tags(named, "filters", "g", "fields"), "tag")
-    some = met.groupBy("g", "chunk_id", "fields").agg(F.count_distinct("tag.field").alias("n")).where("n = fields").select("g", "chunk_id")
-    free = named.where("fields = 0").select("g").distinct()  # at most one row
-    return some.union(free.crossJoin(chunks.select("chunk_id")).select("g", "chunk_id"))
+    met = join_small(tags(chunks, "metadata", "chunk_id"), tags(named, "filters", "g", "fields"), "tag", limit)
+    return met.groupBy("g", "chunk_id", "fields").agg(F.count_distinct("tag.field").alias("n")).where("n = fields").select("g", "chunk_id")
 
 
 def _tags(values, field: str):
     return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, nodes: DataFrame, edges: DataFrame, links: DataFrame, embedder, options: Options, retrieval: str) -> DataFrame:
+def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, postings: DataFrame | None, nodes: DataFrame, edges: DataFrame, links: DataFrame, embedder, options: Options, retrieval: str) -> DataFrame:
     """(qid, chunk_id, source, rank, score) of the lists that the retrieval mode asks for. Dense and sparse lists are
-    filtered before their cut, the graph's isn't. chunks needs a numeric key n for the block search."""
-    allowed = queries.select("qid", "filters")
-    keys = chunks.select("n", "chunk_id", "metadata")
+    filtered before their cut, the graph's isn't. Queries with equal filters share what these admit; those without are
+    searched against all, once. vectors: (chunk_id, v); postings: tokenised() by chunk_id."""
     parts = []
+    groups = queries.select("qid", F.when(sum((F.size(f"filters.{f}") for f in FIELDS), F.lit(0)) > 0, F.to_json("filters")).otherwise("").alias("g"), "filters")
+    if retrieval != "graph":
+        fits = admitted(groups.where("g <> ''").select("g", "filters").dropDuplicates(["g"]), chunks.select("chunk_id", "metadata"), options.broadcast_rows)
+        fits = reused(fits) if retrieval == "hybrid" else fits
     if retrieval in ("dense", "hybrid"):
-        asked = queries.select("qid", dense.embed(F.col("rewritten_query"), embedder).alias("v"))
-        # A query searches the chunks that its filter admits; queries with equal filters share them.
-        groups = allowed.select("qid", F.to_json("filters").alias("g"), "filters")
-        fits = admitted(groups.select("g", "filters").dropDuplicates(["g"]), chunks)
-        rows = vectors.join(keys.select("n", "chunk_id"), "chunk_id").join(fits, "chunk_id")
-        hits = dense.cosine_topk(rows.select(F.col("n").alias("id"), "v", "g"), asked.join(groups.select("qid", "g"), "qid"), options.dense_candidate_count, group=True)
-        parts.append(hits.join(keys.select(F.col("n").alias("id"), "chunk_id"), "id").select("qid", "chunk_id", F.lit("dense").alias("source"), "rank", "score"))
+        asked = queries.select("qid", dense.embed(F.col("rewritten_query"), embedder).alias("v")).join(groups.select("qid", "g"), "qid")
+        rows = vectors.select(F.col("chunk_id").alias("id"), "v")
+        rows = rows.withColumn("g", F.lit("")).union(rows.join(fits, F.col("id") == F.col("chunk_id")).select("id", "v", "g"))
+        hits = dense.cosine_topk(rows, asked, options.dense_candidate_count, group=True)
+        parts.append(hits.select("qid", F.col("id").alias("chunk_id"), F.lit("dense").alias("source"), "rank", "score"))
     if retrieval in ("bm25", "hybrid"):
-        docs = sparse.tokenised(chunks, "chunk_id", enrich.search_text())
-        hits = sparse.bm25(docs, queries, 1 << 30, "rewritten_query", limit=options.broadcast_rows)
-        hits = hits.join(keys.select(F.col("chunk_id").alias("id"), "metadata"), "id").join(allowed, "qid").where(matches(F.col("metadata"), F.col("filters")))
-        order = Window.partitionBy("qid").orderBy(F.round("score", 6).desc(), "id")
-        hits = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= options.sparse_candidate_count)
+        allowed = groups.where("g <> ''").select("qid", "g").join(fits, "g").select("qid", F.col("chunk_id").alias("id"))
+        hits = sparse.bm25(postings, queries, options.sparse_candidate_count, "rewritten_query", allowed, options.broadcast_rows, groups.where("g = ''"))
         parts.append(hits.select("qid", F.col("id").alias("chunk_id"), F.lit("sparse").alias("source"), "rank", "score"))
     if retrieval in ("graph", "hybrid") and options.graph_enabled:
         asked = queries.withColumn("query_mode", fusion.graph_mode(F.col("query_mode"), F.lit(retrieval)))
         parts.append(graph.search(asked, nodes, edges, links, options).select("qid", "chunk_id", F.lit("graph").alias("source"), "rank", "score"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return reduce(DataFrame.unionByName, parts) if parts else queries.sparkSession.createDataFrame([], "qid long, chunk_id string, source string, rank int, score double")
 
 
 class Engine:
@@ -82,37 +80,82 @@ class Engine:
         self.options, self.dictionary = options or Options(), dictionary or Dictionary()
         self.embedder, self.reranker = embedder or dense.HashEmbedder(), reranker or fusion.overlap_rerank
         self.generator, self.router = generator, router
-        self.store = Store(spark, f"{self.home}/store")
+        self.tables, self.store = Tables(spark, f"{self.home}/index"), Store(spark, f"{self.home}/store")
 
     def _table(self, name: str) -> DataFrame:
-        path = f"{self.home}/{name}"
-        if not files.exists(self.spark, path):
+        held = self.tables.read(name)
+        if held is None:
             raise MissingIndex(f"no table {name}; ingest first")
-        return self.spark.read.parquet(path)
-
-    def _write(self, name: str, rows: DataFrame) -> DataFrame:
-        rows.write.mode("overwrite").parquet(f"{self.home}/{name}")
-        return self.spark.read.parquet(f"{self.home}/{name}")
+        return held
 
     def ingest(self, folder: str) -> dict:
-        """Pages to documents, chunks, vectors, postings and graph; all tables are replaced, vectors by key."""
-        pages = files.read_pages(self.spark, folder)
-        docs = parsing.parse_pages(pages)
-        docs = self._write("documents", docs.join(parsing.clean_lines(docs), "document_id"))
-        chunks = enrich.enrich(parsing.chunk(docs, self.options), self.dictionary)
-        chunks = self._write("chunks", chunks.withColumn("n", F.xxhash64("chunk_id")))
-        vectors = chunks.select(uuid5("url", F.col("chunk_id")).alias("id"), "chunk_id", dense.embed(F.col("text"), self.embedder, self.options.embed_batch).alias("v"))
-        files.upsert(self.spark, f"{self.home}/vectors", vectors, "id")
-        for name, rows in (("graph_nodes", graph.nodes(chunks)), ("graph_edges", graph.edges(chunks)), ("graph_links", graph.links(chunks)), ("postings", sparse.tokenised(chunks, "chunk_id", enrich.search_text()))):
-            self._write(name, rows)
-        files.write_manifest(docs, chunks, self.embedder.dims, f"{self.home}/manifest")
+        """Pages to documents, chunks, vectors, postings and graph, all in one version: searches see the old index or the
+        new one. All tables are replaced, vectors by key."""
+        docs = parsing.parse_pages(files.read_pages(self.spark, folder))
+        docs = docs.join(parsing.clean_lines(docs), "document_id")
+        with self.tables.change() as change:
+            docs = change.replace("documents", docs)
+            chunks = change.replace("chunks", enrich.enrich(parsing.chunk(docs, self.options), self.dictionary))
+            change.upsert("vectors", self._vectors(chunks), "id")
+            change.replace("postings", sparse.tokenised(chunks, "chunk_id", enrich.search_text()))
+            self._put_graph(change, chunks)
+            kept = change.replace("manifest", files.manifest(docs, chunks, self.embedder.dims))
+        kept.write.mode("overwrite").json(f"{self.home}/manifest")
         return self.manifest()
 
+    def _vectors(self, chunks: DataFrame) -> DataFrame:
+        v = dense.embed(F.col("text"), self.embedder, self.options.embed_batch)
+        return enrich.payload(chunks).select(uuid5("url", F.col("chunk_id")).alias("id"), "*", v.alias("v"))
+
+    def _put_graph(self, change, chunks: DataFrame) -> None:
+        if self.options.graph_enabled:
+            for name, make in (("graph_nodes", graph.nodes), ("graph_edges", graph.edges), ("graph_links", graph.links)):
+                change.replace(name, make(chunks))
+
+    def ensure_vectors(self) -> bool:
+        """Makes an empty table of vectors where there is none. ValueError if there are vectors of another length."""
+        held = self.tables.read("vectors")
+        if held is None:
+            chunks = self.spark.createDataFrame([], files.CHUNKS)
+            with self.tables.change() as change:
+                change.replace("vectors", self._vectors(chunks), "id")
+            return True
+        dims = held.select(F.size("v").alias("n")).first()
+        if dims and dims.n != self.embedder.dims:
+            raise ValueError(f"the stored vectors have {dims.n} dimensions, the embedder's {self.embedder.dims}")
+        return False
+
+    def ensure_graph(self) -> bool:
+        """Builds the graph from the stored chunks where it is missing; nothing if it is there, off, or no chunk is."""
+        if not self.options.graph_enabled or self.tables.has("graph_nodes", "graph_edges", "graph_links") or not self.tables.has("chunks"):
+            return False
+        chunks = self._table("chunks")
+        if chunks.isEmpty():
+            return False
+        with self.tables.change() as change:
+            self._put_graph(change, chunks)
+        return True
+
+    def start(self, question_sets=(), folder: str | None = None) -> dict:
+        """What a service does when it comes up: ingests if the options ask for it, ensures vectors and graph, and seeds the
+        question sets that aren't there: the given ones and, of an index, one routing question for every document."""
+        done = {"ingested": bool(folder) and self.bootstrap(folder), "vectors": self.ensure_vectors(), "graph": self.ensure_graph()}
+        sets = list(question_sets)
+        if self.tables.has("documents"):
+            fields = ("case_key", "question", "reference_answer", "required_sources", "tags")
+            cases = self.store.read("question_sets").where(F.col("id") == ROUTING_SET).isEmpty() and routing_cases(self._table("documents")).limit(ROUTING_CASES).collect()
+            sets += [{"id": ROUTING_SET, "name": "Routing", "questions": [{f: r[f] for f in fields} for r in cases]}] if cases else []
+        return done | {"seeded": self.store.seed(sets)}
+
+    def refresh(self) -> int:
+        """Lets go of what searches have kept; the next search reads the latest version of every table anyway."""
+        return release()
+
     def manifest(self) -> dict:
-        return self.spark.read.json(f"{self.home}/manifest").first().asDict()
+        return self._table("manifest").first().asDict()
 
     def ready(self) -> bool:
-        return all(files.exists(self.spark, f"{self.home}/{t}") for t in ("manifest", "chunks"))
+        return self.tables.has("manifest", "chunks")
 
     def bootstrap(self, folder: str) -> bool:
         """Ingests if the options ask for it and there is no index."""
@@ -122,7 +165,8 @@ class Engine:
         return False
 
     def health(self) -> dict:
-        return {"status": "ok", "index_ready": self.ready(), "embedder": self.embedder.name, "generator": self.generator is not None, "router": self.router is not None}
+        configured = lambda p: p is not None and getattr(p, "is_configured", True)
+        return {"status": "ok", "index_ready": self.ready(), "embedder": self.embedder.name} | {n: configured(getattr(self, n)) for n in ("generator", "router", "reranker")}
 
     def analyze(self, queries: DataFrame) -> DataFrame:
         """queries: (qid, question); a question has three characters or more."""
@@ -135,37 +179,42 @@ class Engine:
         """(analysed queries, ranked chunks, facts)."""
         if retrieval not in MODES[:2] + MODES[3:]:
             retrieval = "hybrid"
-        # Kept: plans below use the analysed questions several times, and their expressions are large.
+        # Kept until refresh(): plans below use the analysed questions several times, and their expressions are large.
         asked, chunks = reused(self.analyze(queries)), self._table("chunks")
-        nodes, edges, links = (self._table(f"graph_{t}") for t in ("nodes", "edges", "links"))
-        vectors = self._table("vectors") if retrieval in ("dense", "hybrid") else None
-        hits = candidates(asked, chunks, vectors, nodes, edges, links, self.embedder, self.options, retrieval)
+        use_graph = self.options.graph_enabled and retrieval in ("graph", "hybrid")
+        nodes, edges, links = (self._table(f"graph_{t}") if use_graph else None for t in ("nodes", "edges", "links"))
+        vectors = self._table("vectors").select("chunk_id", "v") if retrieval in ("dense", "hybrid") else None
+        postings = self._table("postings") if retrieval in ("bm25", "hybrid") else None
+        # Vectors of chunks that are gone stay in their table; a hit without a chunk goes.
+        hits = candidates(asked, chunks, vectors, postings, nodes, edges, links, self.embedder, self.options, retrieval)
         ranked = fusion.fuse(hits, asked, chunks, self.options, retrieval, self.reranker)
         by_graph = asked.withColumn("query_mode", fusion.graph_mode(F.col("query_mode"), F.lit(retrieval)))
-        facts = graph.facts(by_graph, nodes, edges, self.options) if retrieval in ("graph", "hybrid") else self.spark.createDataFrame([], "qid long, facts array<string>")
+        facts = graph.facts(by_graph, nodes, edges, self.options) if use_graph else self.spark.createDataFrame([], "qid long, facts array<string>")
         return asked, ranked, facts
 
     def query(self, queries: DataFrame, retrieval: str = "hybrid") -> DataFrame:
-        """(qid, question, answer, citations, sources, ranked_sources, retrieval_mode) for (qid, question)."""
+        """A row for each of (qid, question): original and rewritten query, filters, query and retrieval mode, routing,
+        answer, graph facts, citations, retrieved chunks with their scores in order of rank, and the sources of these."""
         if retrieval == "bm25_baseline":
             return self._baseline(queries)
         asked, ranked, facts = self.search(queries, retrieval)
+        # Answers, citations and the response read them; the search runs once.
+        ranked, facts = reused(ranked), reused(facts)
         answers = self.generator(answer.prompt(asked, ranked, facts)) if self.generator else None
         plain = answer.fallback(asked, ranked, facts)
         if answers is not None:
             made = answers.select("qid", F.col("answer").alias("made"))
             plain = plain.join(made, "qid", "left").select("qid", F.coalesce("made", "answer").alias("answer"))
-        order = ranked.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source_url"))), lambda r: r["source_url"]).alias("ranked_sources"))
-        out = asked.select("qid", "question").join(plain, "qid").join(answer.citations(ranked), "qid", "left").join(order, "qid", "left")
-        return out.withColumn("retrieval_mode", F.lit(retrieval))
+        return answer.response(asked, plain, ranked, facts).withColumn("retrieval_mode", fusion.known_retrieval(F.lit(retrieval)))
 
     def _baseline(self, queries: DataFrame) -> DataFrame:
         docs = self._table("documents").select(F.col("document_id").alias("id"), "title", F.col("clean_markdown").alias("text"), "source_url")
         hits = sparse.bm25(sparse.tokenised(docs, "id", F.concat_ws("\n\n", clean_inline(F.col("title")), "text")), queries, self.options.final_context_count, limit=self.options.broadcast_rows)
-        ranked = docs.join(hits, "id").select("qid", F.col("id").alias("chunk_id"), "title", F.expr("cast(array() as array<string>)").alias("heading_path"), "text", "source_url", "rank", F.lit(True).alias("final"))
-        order = ranked.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "source_url"))), lambda r: r["source_url"]).alias("ranked_sources"))
-        out = queries.select("qid", "question").join(answer.baseline(queries, hits, docs), "qid").join(answer.citations(ranked), "qid", "left").join(order, "qid", "left")
-        return out.withColumn("retrieval_mode", F.lit("bm25_baseline"))
+        zero, none = F.lit(0.0), F.expr("cast(array() as array<string>)")
+        ranked = docs.join(hits, "id").select("qid", F.col("id").alias("chunk_id"), "title", none.alias("heading_path"), "text", "source_url", F.lit("document").alias("chunk_type"), zero.alias("dense_score"), F.col("score").alias("sparse_score"), zero.alias("graph_score"), F.col("score").alias("fused_score"), zero.alias("rerank_score"), "rank", F.lit(True).alias("final"))
+        asked = queries.select("qid", "question", F.col("question").alias("rewritten_query"), F.struct(*[none.alias(f) for f in FIELDS]).alias("filters"), F.lit("classic").alias("query_mode"), F.lit(None).cast("double").alias("routing_confidence"), F.lit(None).cast("string").alias("routing_reason"))
+        facts = self.spark.createDataFrame([], "qid long, facts array<string>")
+        return answer.response(asked, answer.baseline(queries, hits, docs), ranked, facts).withColumn("retrieval_mode", F.lit("bm25_baseline"))
 
     def evaluate(self, set_id: str, retrieval: str = "hybrid") -> str:
         """Runs a question set as one batch and saves the run; gives its id. Latency is the batch's time a case."""
@@ -177,7 +226,9 @@ class Engine:
         if not n:
             raise ValueError("the question set has no questions")
         began = time.perf_counter()
-        found = self._write("last_run", self.query(cases.select("qid", "question"), retrieval))
+        with self.tables.change() as change:
+            found = change.replace("last_run", self.query(cases.select("qid", "question"), retrieval))
+        release()
         each = (time.perf_counter() - began) * 1000 / n
         rows = cases.join(found.drop("question"), "qid").withColumn("cited", F.transform("citations", lambda c: c["source_url"])).withColumn("latency_ms", F.round(F.lit(each), 2))
         rows = evaluate.check_cases(rows).withColumn("metrics", evaluate.ranking_metrics(F.col("required_sources"), F.coalesce("ranked_sources", F.expr("cast(array() as array<string>)")), self.options.recall_k, self.options.ranking_k))

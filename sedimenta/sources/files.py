@@ -27,19 +27,7 @@ def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").json(path)
 
 
-def write_manifest(documents: DataFrame, chunks: DataFrame, vector_size: int, path: str) -> None:
-    documents.agg(F.count("*").alias("documents")).crossJoin(chunks.agg(F.count("*").alias("chunks"))).select("documents", "chunks", F.lit(vector_size).alias("vector_size")).coalesce(1).write.mode("overwrite").json(path)
-
-
-def upsert(spark: SparkSession, path: str, rows: DataFrame, key: str) -> None:
-    """Writes rows into the table at path, replacing those with equal keys; other rows stay. The table is written beside
-    itself and swapped in, as a table can't be read and overwritten at once."""
-    if exists(spark, path):
-        held = spark.read.schema(rows.schema).parquet(path)
-        rows = held.join(rows.select(key), key, "left_anti").select(*rows.columns).unionByName(rows)
-    rows.write.mode("overwrite").parquet(f"{path}.next")
-    jvm = spark.sparkContext._jvm
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.next")
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(old, True)
-    fs.rename(new, old)
+def manifest(documents: DataFrame, chunks: DataFrame, vector_size: int) -> DataFrame:
+    """One row: how many documents and chunks, and the length of the vectors."""
+    n = lambda rows, name: rows.agg(F.count("*").alias(name))
+    return n(documents, "documents").crossJoin(n(chunks, "chunks")).select("documents", "chunks", F.lit(vector_size).alias("vector_size"))

@@ -1,4 +1,4 @@
-"""The store of question sets and runs: Parquet tables with explicit schemas, replaced whole by a new version folder."""
+"""The store of question sets and runs: versioned tables with explicit schemas."""
 
 from __future__ import annotations
 
@@ -7,6 +7,9 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import page_tag
+from .tables import Conflict, Tables
+
 SCHEMAS = {
     "question_sets": "id string, name string, description string, created_at timestamp, updated_at timestamp",
     "questions": "id string, set_id string, case_key string, position int, question string, tags array<string>, reference_answer string, exact_answer string, required_terms array<string>, required_any array<array<string>>, forbidden_terms array<string>, required_sources array<string>, expected_refusal boolean, notes string",
@@ -14,6 +17,36 @@ SCHEMAS = {
     "run_cases": "id string, run_id string, question_id string, case_key string, case_order int, passed boolean, score double, evaluation string",
 }
 LISTS = ("tags", "required_terms", "forbidden_terms", "required_sources")
+#: Buckets of the tables of sets, and how often a change is tried against other writers.
+SET_BUCKETS, RETRIES = 16, 5
+
+
+def page_url(page_id, host: str) -> str:
+    """The address of a page of a wiki host."""
+    return f"https://{host}/pages/viewpage.action?pageId={page_id}"
+
+
+def question(case_key: str, text: str, answer: str | None = None, *, sources=(), tags=(), required_terms=(), required_any=(), forbidden_terms=(), exact_answer: str | None = None, notes: str | None = None) -> dict:
+    """A question of a set, as create_set() takes it."""
+    lists = {"tags": tags, "required_terms": required_terms, "forbidden_terms": forbidden_terms, "required_sources": sources}
+    return {c: list(v) for c, v in lists.items()} | {"case_key": case_key, "question": text, "reference_answer": answer, "exact_answer": exact_answer, "notes": notes, "required_any": [list(g) for g in required_any], "expected_refusal": False}
+
+
+def routing_cases(documents: DataFrame) -> DataFrame:
+    """A question for every document (document_id, title, source_url): which page is about its title. The page must be
+    cited; tagged as routing, and by page."""
+    asked = F.concat(F.lit("Где описано «"), F.col("title"), F.lit("»?"))
+    tag = page_tag(F.array("source_url"))
+    return documents.select(F.concat(F.lit("routing-"), F.col("document_id").cast("string")).alias("case_key"), asked.alias("question"), F.concat(F.lit("Это описано на странице «"), F.col("title"), F.lit("».")).alias("reference_answer"), F.array("source_url").alias("required_sources"), F.array(F.lit("routing"), tag).alias("tags"))
+
+
+def reworded(questions: DataFrame, cases: DataFrame, *tags: str) -> DataFrame:
+    """A research set: cases (case_key, question, bucket, notes) put the stored questions another way and keep their checks;
+    tags of both, the given ones, the bucket and the page's, each once."""
+    kept = research_cases(cases, questions)
+    named = questions.groupBy("case_key").agg(F.max_by("tags", "position").alias("old"))
+    every = F.concat(F.coalesce("old", F.array().cast("array<string>")), F.array(*map(F.lit, tags), F.col("bucket"), page_tag(F.col("required_sources"))))
+    return kept.join(named, "case_key").withColumn("tags", F.array_distinct(F.filter(every, lambda t: t.isNotNull() & (t != "")))).drop("old", "bucket")
 
 
 def list_sets(sets: DataFrame, questions: DataFrame, runs: DataFrame) -> DataFrame:
@@ -55,22 +88,18 @@ def absent(seeds: DataFrame, sets: DataFrame) -> DataFrame:
     return seeds.where(F.trim("id") != "").join(sets.select("id"), "id", "left_anti")
 
 
-def normalise(items: list[dict]) -> list[dict]:
-    """Question dicts with defaults; an empty question or a repeated key is an error."""
-    out: list[dict] = []
-    for i, item in enumerate(items, 1):
-        question = str(item.get("question", "")).strip()
-        key = str(item.get("case_key") or item.get("id") or f"case-{i}").strip()
-        if not question:
-            raise ValueError(f"Question #{i} is empty")
-        if not key:
-            raise ValueError(f"Question #{i} has empty case_key")
-        if any(x["case_key"] == key for x in out):
-            raise ValueError(f"Duplicate case_key in question set: {key}")
-        row = {"id": item.get("id") or str(uuid4()), "case_key": key, "position": i, "question": question, "expected_refusal": bool(item.get("expected_refusal", False))}
-        row |= {c: list(item.get(c) or []) for c in (*LISTS, "required_any")} | {c: item.get(c) for c in ("reference_answer", "exact_answer", "notes")}
-        out.append(row)
-    return out
+def checked(questions: DataFrame) -> DataFrame:
+    """The questions of one set as they are stored: trimmed, keyed (by case_key, else id, else place) and without nulls in
+    lists and flags. ValueError, naming the first in order, where a question or a key is blank or a key comes twice."""
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    key = F.trim(F.coalesce(given("case_key"), given("id"), F.format_string("case-%d", "position")))
+    filled = {c: F.coalesce(F.col(c), F.array().cast(questions.schema[c].dataType)) for c in (*LISTS, "required_any")}
+    rows = questions.withColumns({"case_key": key, "question": F.trim(F.coalesce("question", F.lit(""))), "id": F.coalesce(given("id"), F.uuid()), "expected_refusal": F.coalesce("expected_refusal", F.lit(False)), **filled})
+    blank = (F.col("question") == "") | (F.col("case_key") == "")
+    bad = rows.groupBy("case_key").agg(F.min("position").alias("at"), F.count("*").alias("n"), F.min(F.when(blank, F.col("position"))).alias("blank")).where("n > 1 or blank is not null").orderBy(F.coalesce("blank", "at")).first()
+    if bad:
+        raise ValueError(f"question {bad.blank} lacks a text or a key" if bad.blank else f"{bad.n} questions share the key {bad.case_key!r}")
+    return rows
 
 
 def research_cases(cases: DataFrame, questions: DataFrame) -> DataFrame:
@@ -81,38 +110,35 @@ def research_cases(cases: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 class Store:
-    """Tables under one folder. A table is a folder of versions; the latest one counts, so a failed write changes nothing."""
+    """Tables under one folder; what belongs together changes in one version. Adding a run reads nothing of the others."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _versions(self, name: str) -> list[str]:
-        jvm = self.spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(at)]
-        return sorted(n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{n}/_SUCCESS")))
+        self.spark, self.tables = spark, Tables(spark, path)
 
     def read(self, name: str) -> DataFrame:
         """The table; empty if it was never written. Columns that an older version lacks are null."""
-        versions = self._versions(name)
-        if not versions:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/{versions[-1]}")
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        versions = self._versions(name)
-        after = f"v{int(versions[-1][1:]) + 1 if versions else 0:08d}"
-        empty = self.spark.createDataFrame([], SCHEMAS[name])
-        rows.select(*[F.col(f.name).cast(f.dataType) for f in empty.schema]).write.mode("overwrite").parquet(f"{self.path}/{name}/{after}")
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        self.replace(name, self.read(name).unionByName(rows, allowMissingColumns=True))
+        empty, held = self.spark.createDataFrame([], SCHEMAS[name]), self.tables.read(name)
+        return empty if held is None else empty.unionByName(held, allowMissingColumns=True)
+
+    def _change(self, make) -> None:
+        """Makes the changes of make(change); anew where another writer came first."""
+        for attempt in range(RETRIES):
+            try:
+                with self.tables.change() as change:
+                    make(change)
+                return
+            except Conflict:
+                if attempt == RETRIES - 1:
+                    raise
+
+    def _typed(self, name: str, rows: DataFrame) -> DataFrame:
+        fields = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        return rows.select(*[F.col(f.name).cast(f.dataType) for f in fields])
 
     def _question_rows(self, set_id: str, items: list[dict]) -> DataFrame:
-        return self.spark.createDataFrame([{**q, "set_id": set_id} for q in normalise(items)], SCHEMAS["questions"])
+        text = ("id", "case_key", "question", "reference_answer", "exact_answer", "notes")
+        rows = [{c: None if q.get(c) is None else str(q[c]) for c in text} | {c: q.get(c) for c in (*LISTS, "required_any", "expected_refusal")} | {"position": i, "set_id": set_id} for i, q in enumerate(items, 1)]
+        return checked(self.spark.createDataFrame(rows, SCHEMAS["questions"]))
 
     def _put_set(self, set_id: str, payload: dict, created=None) -> None:
         name = str(payload.get("name", "")).strip()
@@ -121,8 +147,12 @@ class Store:
         questions = self._question_rows(set_id, payload.get("questions", []))
         now = F.current_timestamp()
         row = self.spark.range(1).select(F.lit(set_id).alias("id"), F.lit(name).alias("name"), F.lit(payload.get("description")).cast("string").alias("description"), (F.lit(created) if created else now).alias("created_at"), now.alias("updated_at"))
-        self.replace("question_sets", self.read("question_sets").where(F.col("id") != set_id).unionByName(row))
-        self.replace("questions", self.read("questions").where(F.col("set_id") != set_id).unionByName(questions))
+
+        def make(change) -> None:
+            change.upsert("question_sets", self._typed("question_sets", row), "id", buckets=SET_BUCKETS)
+            change.upsert("questions", self._typed("questions", questions), "set_id", self.spark.createDataFrame([(set_id,)], "set_id string"), SET_BUCKETS)
+
+        self._change(make)
 
     def create_set(self, payload: dict) -> str:
         set_id = str(payload.get("id") or uuid4())
@@ -156,10 +186,14 @@ class Store:
         return True
 
     def save_run(self, set_id: str, set_name: str, mode: str, summary: DataFrame, results: DataFrame) -> str:
-        """Adds a run with its summary (one row) and cases."""
+        """Adds a run with its summary (one row) and cases, in one version."""
         run_id = str(uuid4())
         head = summary.select(F.lit(run_id).alias("id"), F.lit(set_id).alias("set_id"), F.lit(set_name).alias("set_name"), F.lit(mode).alias("retrieval_mode"), F.current_timestamp().alias("created_at"), "total_cases", "passed_cases", "pass_rate", "average_score", "average_latency_ms", "p95_latency_ms", F.to_json(F.struct("*")).alias("summary"))
         cases = results.select(F.uuid().alias("id"), F.lit(run_id).alias("run_id"), "question_id", "case_key", "case_order", "passed", "score", F.to_json(F.struct(*[c for c in results.columns if c not in ("question_id",)])).alias("evaluation"))
-        self.append("runs", head)
-        self.append("run_cases", cases)
+
+        def make(change) -> None:
+            change.append("runs", self._typed("runs", head))
+            change.append("run_cases", self._typed("run_cases", cases))
+
+        self._change(make)
         return run_id

@@ -1,4 +1,5 @@
 import json
+import os
 import subprocess
 import sys
 
@@ -6,9 +7,11 @@ import pytest
 from sedimenta.functions.entities import Dictionary
 from sedimenta.options import Options
 from pyspark.errors import PySparkException
+from sedimenta.operators import dense
 from sedimenta.plans import providers
 from sedimenta.plans.engine import Engine, MissingIndex, NotFound
-from sedimenta.sources.store import Store
+from sedimenta.sources.store import Store, page_url, question
+from sedimenta.sources.tables import Tables
 from sedimenta.streaming import ingest as stream
 
 PAGES = {
@@ -67,6 +70,7 @@ def test_providers(engine, spark):
 
 def test_ingest_again_changes_nothing(engine):
     before = engine._table("vectors").count()
+    assert {"chunk_id", "text", "doc_family", "api_symbols", "v"} <= set(engine._table("vectors").columns)
     assert engine.ingest(engine.pages)["chunks"] == before == engine._table("vectors").count()
     assert engine.health()["index_ready"] and not engine.bootstrap(engine.pages)
 
@@ -101,16 +105,66 @@ def test_store(spark, tmp_path):
 def test_stream(engine, spark, tmp_path):
     (tmp_path / "in").mkdir()
     home = f"file://{tmp_path}/home"
+    read = lambda name, *columns: sorted(map(tuple, Tables(spark, f"{home}/index").read(name).select(*columns).collect()))
     for name, text in list(PAGES.items())[:2]:
         (tmp_path / "in" / f"{name}.md").write_text(text)
     run = lambda: stream.ingest(spark, f"file://{tmp_path}/in", home, f"file://{tmp_path}/check").awaitTermination()
     run()
-    first = spark.read.parquet(f"{home}/chunks").count()
+    first = len(read("chunks", "chunk_id"))
     (tmp_path / "in" / "pageId_3.md").write_text(PAGES["pageId_3"])
     run()
-    assert spark.read.parquet(f"{home}/chunks").count() > first
+    assert len(read("chunks", "chunk_id")) > first
     whole = engine._table("chunks").select("chunk_id", "text")
-    assert sorted(map(tuple, spark.read.parquet(f"{home}/chunks").select("chunk_id", "text").collect())) == sorted(map(tuple, whole.collect()))
+    assert read("chunks", "chunk_id", "text") == sorted(map(tuple, whole.collect())) and ("pageId_1",) in read("graph_links", "document_id")
+    # A page comes twice in one batch, and again without entities; another without blocks.
+    for folder, body in (("a", "old text on linux"), ("b", "nothing known")):
+        (tmp_path / "in" / folder).mkdir()
+        (tmp_path / "in" / folder / "pageId_1.md").write_text(PAGES["pageId_1"].split("\n")[0] + "\n" + body)
+        os.utime(tmp_path / "in" / folder / "pageId_1.md", (2e9, 2e9 + (folder == "b")))
+    (tmp_path / "in" / "a" / "pageId_2.md").write_text(PAGES["pageId_2"].split("\n")[0])
+    stream.ingest(spark, f"file://{tmp_path}/in/*", home, f"file://{tmp_path}/check2").awaitTermination()
+    now = read("chunks", "document_id", "text")
+    assert [t for d, t in now if d == "pageId_1"] == ["nothing known"] and not [t for d, t in now if d == "pageId_2"] and [t for d, t in now if d == "pageId_3"]
+    assert not {("pageId_1",), ("pageId_2",)} & set(read("graph_links", "document_id"))
+
+
+def test_start_and_upkeep(engine, spark):
+    e = Engine(spark, engine.home)
+    with e.tables.change() as change:
+        change.state.pop("graph_edges")
+    assert not e.tables.has("graph_edges") and e.ensure_graph() and not e.ensure_graph() and e.tables.has("graph_edges")
+    sets = [{"id": "mine", "name": "Mine", "questions": [question("k", "какой порт у ldap", "389", sources=[page_url(3, "w.example")], required_terms=["389"], tags=["x"])]}]
+    done = e.start(sets)
+    assert done == {"ingested": False, "vectors": False, "graph": False, "seeded": ["mine", "routing"]} and e.start(sets)["seeded"] == []
+    cases = {r.case_key: r for r in e.store.read("questions").where("set_id = 'routing'").collect()}
+    assert len(cases) == 3 and cases["routing-pageId_3"].tags == ["routing", "page_3"] and "Таблица" in cases["routing-pageId_3"].question
+    run_id = e.evaluate("routing", "bm25")
+    run = e.store.read("runs").where(f"id = '{run_id}'").first()
+    assert run.total_cases == 3 and json.loads(run.summary)["recall_at_5"] > 0.5
+    assert e.search(spark.createDataFrame([(1, "порт ldap")], "qid long, question string")) and e.refresh() > 0 and e.refresh() == 0
+    with pytest.raises(ValueError, match="dimensions"):
+        Engine(spark, engine.home, embedder=dense.HashEmbedder(8)).ensure_vectors()
+
+
+def test_vectors_are_made_where_there_are_none(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/new")
+    assert e.ensure_vectors() and not e.ensure_vectors() and e.tables.read("vectors").count() == 0 and not e.ensure_graph()
+
+
+def test_response_and_reranker(engine, spark):
+    def score(query, texts):
+        return [float(len(t)) for t in texts]
+
+    e = Engine(spark, engine.home, reranker=providers.reranker(score, 2))
+    row = e.query(spark.createDataFrame([(1, "порт nginx 443 linux")], "qid long, question string")).first()
+    chunks = row.retrieved_chunks
+    assert [c.rerank_score for c in chunks] == sorted([float(len(c.text)) for c in chunks], reverse=True) and chunks
+    assert row.rewritten_query.startswith(row.question) and row.filters.os_tags == ["linux"] and row.query_mode == "classic" and row.routing_reason and row.graph_facts == []
+    assert [c.chunk_id for c in row.citations] == [c.chunk_id for c in chunks] and row.sources == list(dict.fromkeys(c.source_url for c in chunks)) and row.retrieval_mode == "hybrid"
+    assert e.health()["reranker"] and not Engine(spark, engine.home, generator=providers.generator(print, is_configured=False)).health()["generator"]
+    bad = Engine(spark, engine.home, reranker=providers.reranker(lambda q, t: []))
+    with pytest.raises(PySparkException, match="scores for"):
+        bad.query(spark.createDataFrame([(1, "порт ldap")], "qid long, question string")).collect()
 
 
 def test_options():

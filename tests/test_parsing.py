@@ -71,6 +71,10 @@ def test_function_pages(spark):
     assert [r.chunk_type for r in rows][:2] == ["reference", "reference"] and len(rows) > 2 and rows[0].chunk_id == "d-00001"
 
 
+def test_function_page_without_functions():
+    assert parsing.scan_functions("text only") == [] and parsing.scan_functions("") == []
+
+
 def pieces(spark, text, f):
     return spark.createDataFrame([(text,)], "t string").select(f(F.col("t")).alias("x")).first().x
 

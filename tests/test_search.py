@@ -64,6 +64,8 @@ def test_cosine_in_blocks(spark, monkeypatch):
     asked = rows.where("id < 10").withColumnRenamed("id", "qid")
     for group in (False, True):
         got = {(r.qid, r["rank"]): (r.id, r.score) for r in dense.cosine_topk(rows, asked, 4, group).collect()}
+        named = dense.cosine_topk(rows.withColumn("id", F.format_string("%04d", "id")), asked, 4, group).collect()
+        assert {(r.qid, r["rank"]): (int(r.id), r.score) for r in named} == got
         unit = x / np.linalg.norm(x, axis=1)[:, None]
         for q in range(10):
             best = sorted((-round(float(unit[q] @ unit[i]), 6), i) for i in range(40) if not group or i % 2 == q % 2)[:4]
