@@ -15,9 +15,9 @@ from .functions import entities as ent
 from .functions import scalar
 from .functions import text as txt
 from .operators import analysis, answer, dense, enrich, evaluate, fusion, graph, parsing, sparse
-from .operators.joins import reused
 from .options import Options
 from .sources import files
+from .sources.scratch import written
 
 OPTIONS = Options()
 #: A dictionary of frequent corpus words, ours, next to the default one: the tables name few products.
@@ -253,7 +253,7 @@ def vector_payload(spark, d):
 
 @query("ingest_manifest", f"WITH {CHUNKS_SQL} SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks, 64 AS vector_size FROM chunks")
 def ingest_manifest(spark, d):
-    chunks = reused(_doc_chunks(spark, d).select("document_id"))
+    chunks = written(_doc_chunks(spark, d).select("document_id"), "chunks")
     return files.manifest(chunks.distinct(), chunks, 64)
 
 
@@ -272,7 +272,7 @@ SCORE_SQL = "s AS (SELECT qid, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 +
 
 def _docs(spark, d):
     """Postings of the documents; an engine reads stored ones, so tokens are found once here too."""
-    return reused(sparse.tokenised(table(spark, d, "documents"), "doc_id", F.col("text")))
+    return written(sparse.tokenised(table(spark, d, "documents"), "doc_id", F.col("text")), "postings")
 
 
 def _questions(spark, d):
@@ -403,7 +403,7 @@ gh AS (SELECT qid, chunk_id, score, row_number() OVER (PARTITION BY qid ORDER BY
 
 @query("graph_search", f"WITH {GRAPH_SQL}, {EDGES_SQL}, {NEAR_SQL}, {SEEDS_SQL}, {GSEARCH_SQL} SELECT qid, chunk_id, score, rank::INT AS rank FROM gh")
 def graph_search(spark, d):
-    chunks = reused(_enriched(spark, d))
+    chunks = written(_enriched(spark, d), "chunks")
     return graph.search(_graph_queries(spark, d), graph.nodes(chunks), graph.edges(chunks), graph.links(chunks), OPTIONS)
 
 
@@ -414,7 +414,7 @@ one AS (SELECT qid, fact, min(ord * 10000 + nth * 10 + o) AS pos FROM said GROUP
 few AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY pos) AS n FROM one QUALIFY n <= 8)
 SELECT qid, string_agg(fact, '; ' ORDER BY n) AS facts FROM few GROUP BY qid""")
 def graph_facts(spark, d):
-    chunks = reused(_enriched(spark, d))
+    chunks = written(_enriched(spark, d), "chunks")
     return graph.facts(_graph_queries(spark, d), graph.nodes(chunks), graph.edges(chunks), OPTIONS).select("qid", F.array_join("facts", "; ").alias("facts"))
 
 

@@ -8,9 +8,9 @@ from . import catalog as c
 from .catalog import CORPUS, OPTIONS, query, table
 from .functions import entities as ent
 from .operators import analysis, answer, dense, enrich, evaluate, fusion, graph, sparse
-from .operators.joins import reused
 from .plans import engine
 from .sources import store
+from .sources.scratch import written
 
 # ---- analysis
 
@@ -56,15 +56,15 @@ _ALL = f"WITH {c.GRAPH_SQL}, {c.EDGES_SQL}, {c.NEAR_SQL}, {c.SEEDS_SQL}, {c.GSEA
 
 def _analysed(spark, d):
     asked = analysis.analyze(c._questions(spark, d), CORPUS)
-    return reused(asked.withColumn("query_mode", F.element_at(F.array(*map(F.lit, ("classic", "mixed", "graph_first"))), (F.col("qid") % 3 + 1).cast("int"))))
+    return written(asked.withColumn("query_mode", F.element_at(F.array(*map(F.lit, ("classic", "mixed", "graph_first"))), (F.col("qid") % 3 + 1).cast("int"))), "questions")
 
 
 def _hits(spark, d):
-    chunks, asked, embedder = reused(c._enriched(spark, d)), _analysed(spark, d), dense.HashEmbedder()
-    vectors = reused(chunks.select("chunk_id", dense.embed(F.col("text"), embedder).alias("v")))
-    postings = reused(sparse.tokenised(chunks, "chunk_id", enrich.search_text()))
-    hits = engine.candidates(asked, chunks, vectors, postings, graph.nodes(chunks), graph.edges(chunks), graph.links(chunks), embedder, OPTIONS, "hybrid")
-    return chunks, asked, reused(hits)
+    chunks, asked, embedder = written(c._enriched(spark, d), "chunks"), _analysed(spark, d), dense.HashEmbedder()
+    vectors = written(chunks.select("chunk_id", dense.embed(F.col("text"), embedder).alias("v")), "vectors")
+    postings = written(sparse.tokenised(chunks, "chunk_id", enrich.search_text()), "postings")
+    tables = [written(make(chunks), f"graph-{make.__name__}") for make in (graph.nodes, graph.edges, graph.links)]
+    return chunks, asked, written(engine.candidates(asked, chunks, vectors, postings, *tables, embedder, OPTIONS, "hybrid"), "hits")
 
 
 @query("candidate_lists", f"{_ALL} SELECT qid, chunk_id, src AS source, rank::INT AS rank, round(score, 4) AS score FROM hits")
@@ -139,7 +139,7 @@ def hybrid_search(spark, d):
 SELECT rw.qid, coalesce(cited, '') AS cited, md5(CASE WHEN l IS NULL THEN '{answer.REFUSAL}' ELSE trim('Переписанный запрос: ' || rew || chr(10) || 'Режим поиска: ' || mode || chr(10) || chr(10) || '{answer.NOT_GENERATED}' || chr(10) || chr(10) || l, E' \\n\\t') END) AS answer_md5 FROM rw LEFT JOIN fin USING (qid)""")
 def citations_answer(spark, d):
     asked, ranked = _ranked(spark, d)
-    ranked = reused(ranked)
+    ranked = written(ranked, "ranked")
     out = asked.select("qid").join(answer.citations(ranked), "qid", "left").join(answer.fallback(asked, ranked), "qid")
     return out.select("qid", F.coalesce(F.array_join(F.transform("citations", lambda x: x["chunk_id"]), ","), F.lit("")).alias("cited"), F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
 
@@ -151,8 +151,8 @@ SELECT rw.qid, mode AS query_mode, md5(rew) AS rewritten_md5, coalesce(retrieved
 @query("query_response", _RESPONSE)
 def query_response(spark, d):
     asked, ranked = _ranked(spark, d)
-    facts = spark.createDataFrame([], "qid long, facts array<string>")
-    out = answer.response(asked, answer.fallback(asked, ranked), reused(ranked), facts)
+    ranked, facts = written(ranked, "ranked"), spark.createDataFrame([], "qid long, facts array<string>")
+    out = answer.response(asked, answer.fallback(asked, ranked), ranked, facts)
     score = lambda x, p: F.format_string(f"%.{p}f", x)
     listed = F.transform("retrieved_chunks", lambda x: F.concat_ws(":", x["chunk_id"], score(F.round(x["fused_score"], 4), 4), score(x["rerank_score"], 6)))
     n_filters = sum((F.size(f"filters.{f}") > 0).cast("int") for f in ent.FIELDS)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,21 +11,3 @@ def join_small(large: DataFrame, small: DataFrame, on, limit: int, how: str = "i
     skewed keys). The check reads at most limit + 1 rows."""
     few = small.limit(limit + 1).count() <= limit
     return large.join(F.broadcast(small) if few else small, on, how)
-
-
-_KEPT: list[DataFrame] = []
-
-
-def reused(df: DataFrame) -> DataFrame:
-    """A frame that one plan reads several times; spills to disk, and is worked out again where an executor is lost. It
-    stays until release()."""
-    _KEPT.append(df.persist(StorageLevel.MEMORY_AND_DISK))
-    return _KEPT[-1]
-
-
-def release() -> int:
-    """Lets go of all that reused() has kept; for when results are saved. Gives the number of frames."""
-    n = len(_KEPT)
-    while _KEPT:
-        _KEPT.pop().unpersist()
-    return n

@@ -12,9 +12,10 @@ from ..functions.entities import FIELDS, Dictionary
 from ..functions.scalar import uuid5
 from ..functions.text import clean_inline
 from ..operators import analysis, answer, dense, enrich, evaluate, fusion, graph, parsing, sparse
-from ..operators.joins import join_small, release, reused
+from ..operators.joins import join_small
 from ..options import Options
 from ..sources import files
+from ..sources.scratch import discard_scratch, written
 from ..sources.store import Store, routing_cases
 from ..sources.tables import Tables
 
@@ -55,7 +56,7 @@ def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None,
     groups = queries.select("qid", F.when(sum((F.size(f"filters.{f}") for f in FIELDS), F.lit(0)) > 0, F.to_json("filters")).otherwise("").alias("g"), "filters")
     if retrieval != "graph":
         fits = admitted(groups.where("g <> ''").select("g", "filters").dropDuplicates(["g"]), chunks.select("chunk_id", "metadata"), options.broadcast_rows)
-        fits = reused(fits) if retrieval == "hybrid" else fits
+        fits = written(fits, "admitted")
     if retrieval in ("dense", "hybrid"):
         asked = queries.select("qid", dense.embed(F.col("rewritten_query"), embedder).alias("v")).join(groups.select("qid", "g"), "qid")
         rows = vectors.select(F.col("chunk_id").alias("id"), "v")
@@ -148,8 +149,9 @@ class Engine:
         return done | {"seeded": self.store.seed(sets)}
 
     def refresh(self) -> int:
-        """Lets go of what searches have kept; the next search reads the latest version of every table anyway."""
-        return release()
+        """Deletes what searches have written in the shared folder, for when their results are saved; gives the number of
+        tables. The next search reads the latest version of every table anyway."""
+        return discard_scratch(self.spark)
 
     def manifest(self) -> dict:
         return self._table("manifest").first().asDict()
@@ -179,8 +181,8 @@ class Engine:
         """(analysed queries, ranked chunks, facts)."""
         if retrieval not in MODES[:2] + MODES[3:]:
             retrieval = "hybrid"
-        # Kept until refresh(): plans below use the analysed questions several times, and their expressions are large.
-        asked, chunks = reused(self.analyze(queries)), self._table("chunks")
+        # Written, as plans below use the analysed questions several times and their expressions are large.
+        asked, chunks = written(self.analyze(queries), "questions"), self._table("chunks")
         use_graph = self.options.graph_enabled and retrieval in ("graph", "hybrid")
         nodes, edges, links = (self._table(f"graph_{t}") if use_graph else None for t in ("nodes", "edges", "links"))
         vectors = self._table("vectors").select("chunk_id", "v") if retrieval in ("dense", "hybrid") else None
@@ -199,7 +201,7 @@ class Engine:
             return self._baseline(queries)
         asked, ranked, facts = self.search(queries, retrieval)
         # Answers, citations and the response read them; the search runs once.
-        ranked, facts = reused(ranked), reused(facts)
+        ranked, facts = written(ranked, "ranked"), written(facts, "facts")
         answers = self.generator(answer.prompt(asked, ranked, facts)) if self.generator else None
         plain = answer.fallback(asked, ranked, facts)
         if answers is not None:
@@ -228,7 +230,7 @@ class Engine:
         began = time.perf_counter()
         with self.tables.change() as change:
             found = change.replace("last_run", self.query(cases.select("qid", "question"), retrieval))
-        release()
+        self.refresh()
         each = (time.perf_counter() - began) * 1000 / n
         rows = cases.join(found.drop("question"), "qid").withColumn("cited", F.transform("citations", lambda c: c["source_url"])).withColumn("latency_ms", F.round(F.lit(each), 2))
         rows = evaluate.check_cases(rows).withColumn("metrics", evaluate.ranking_metrics(F.col("required_sources"), F.coalesce("ranked_sources", F.expr("cast(array() as array<string>)")), self.options.recall_k, self.options.ranking_k))
