@@ -2,7 +2,7 @@
 
 Trust is a personalised PageRank that starts at the hosts whose pages rules allow; distrust starts at those whose pages
 rules block and runs against the links, to hosts that link there. Both count in pages, so they can be compared; a
-host with more distrust than trust is blocked. Sums are of whole numbers, so results don't hang on their order.
+host is blocked by the share of distrust in both, more than half by default. Sums are of whole numbers, so results don't hang on their order.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ SCALE, FOLLOW, STEPS, CHUNK = 10**12, 85, 20, 5
 #: Verdicts: the relative change in CHUNK steps up to which a host's mass counts as settled, how much more distrust than
 #: trust blocks (relative), and the steps after which a spread that hasn't settled is an error.
 TOLERANCE, MARGIN, LIMIT = 1e-6, 1e-10, 2000
+#: The share of distrust in a host's trust and distrust beyond which it is blocked.
+THRESHOLD = 0.5
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?i)href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#"'\s<>]+)"""
 
@@ -119,13 +121,14 @@ def by_host(mass: DataFrame, trust: str, distrust: str) -> DataFrame:
     return mass.groupBy(F.col("host").alias("of_host")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("mass"))).alias(n) for k, n in (("trust", trust), ("distrust", distrust))])
 
 
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, host, path, rule, verdict, trust, distrust, trust_pages, distrust_pages) for every row of pages.
 
     The host is what stands after the first :// up to /, ? or #, with A to Z lower-cased; the path follows up to ? or #.
     A url that is null or has no :// has empty both; such pages seed nothing, get no rule and are allowed. The longest
     rule that fits decides (the first of equals); else the host's trust_pages and distrust_pages do: settled() masses to
-    a relative TOLERANCE a step, where distrust blocks if it is more than trust by over a relative MARGIN. trust and
+    a relative TOLERANCE a step, where a host is blocked if distrust is more than `threshold` of both together, by over a
+    relative MARGIN; a host that neither reaches is allowed. trust and
     distrust are whole-number figures of STEPS steps, of SCALE for all ruled pages, and may be 0 where the masses aren't.
     Null html has no links. Repeated rows each give a row and count as often. Other columns aren't read.
     """
@@ -140,7 +143,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     whole = spread(seeds.select("kind", "host", F.expr(f"({SCALE} * cast(pages as decimal(19, 0))) div {total}").alias("mass")), ways)
     hosts = by_host(whole, "trust", "distrust").join(by_host(settled(seeds, ways), "trust_pages", "distrust_pages"), "of_host", "full")
     rows = rows.join(written(hosts, "host-verdicts"), F.col("host") == F.col("of_host"), "left").fillna(0, ["trust", "distrust", "trust_pages", "distrust_pages"])
-    verdict = F.coalesce(ruled, F.when(F.col("distrust_pages") > F.col("trust_pages") * (1 + MARGIN), "block").otherwise("allow"))
+    verdict = F.coalesce(ruled, F.when(F.col("distrust_pages") * (1 - threshold) > F.col("trust_pages") * threshold * (1 + MARGIN), "block").otherwise("allow"))
     return rows.select(F.col("page_id").alias(id_col), "host", "path", _pick(F.col("at"), [h + p for _, h, p in rules]).alias("rule"), verdict.alias("verdict"), "trust", "distrust", "trust_pages", "distrust_pages")
 
 

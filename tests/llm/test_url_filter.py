@@ -1,6 +1,7 @@
 import re
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -50,3 +51,43 @@ def test_far_hosts_are_reached(spark):
     ways = uf.link_ways(uf.host_links(docs))
     with pytest.raises(RuntimeError, match="did not settle"):
         uf.settled(seeds, ways, limit=5)
+
+
+def test_random_web_equals_power_iteration(spark):
+    rng = np.random.default_rng(3)
+    hosts = ["x.com", "sub.org", "y.com"] + [f"h{i}.net" for i in range(40)]
+    path = {"x.com": "/de/", "sub.org": "/", "y.com": "/fr/"}
+    out = np.zeros((len(hosts), len(hosts)))
+    rows = []
+    for i in range(150):
+        src = int(rng.integers(len(hosts)))
+        to = rng.integers(0, len(hosts), rng.integers(0, 6)).tolist()
+        for t in to:
+            out[src, t] += t != src
+        rows.append((i, f"http://{hosts[src]}{path.get(hosts[src], '/p')}", " ".join(f'<a href="http://{hosts[t]}/">' for t in to) or None))
+    kinds = {r[0]: hosts.index(r[1].split("/")[2]) for r in rows}
+
+    def power(seed, ways):
+        share = ways / np.maximum(ways.sum(1), 1)[:, None]
+        x = 0.15 * seed
+        for _ in range(400):
+            x = 0.15 * seed + 0.85 * x @ share
+        return x
+
+    seed = lambda names: np.array([sum(h == i and hosts[i] in names for h in kinds.values()) for i in range(len(hosts))], float)
+    trust, distrust = power(seed(("sub.org", "y.com")), out), power(seed(("x.com",)), out.T)
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for threshold in (0.5, 0.2):
+        for r in uf.judge(docs, threshold=threshold).collect():
+            t, d = trust[kinds[r.page_id]], distrust[kinds[r.page_id]]
+            assert r.trust_pages == pytest.approx(t, rel=1e-4, abs=1e-9) and r.distrust_pages == pytest.approx(d, rel=1e-4, abs=1e-9)
+            if r.rule is None and abs(d / max(t + d, 1e-12) - threshold) > 1e-3:
+                assert r.verdict == ("block" if d * (1 - threshold) > t * threshold else "allow")
+
+
+def test_long_urls_and_equal_rules(spark):
+    long_ = "x" * 200_000
+    docs = spark.createDataFrame([(1, f"http://a.com/{long_}?q", f"<p>{long_}</p><a href='http://b.com/{long_}'>"), (2, "http://a.com/p", None)], "page_id long, url string, html string")
+    rules = (("block", "com", "/p"), ("allow", "com", "/p"), ("allow", "com", "/"))
+    got = {r.page_id: r for r in uf.judge(docs, rules).collect()}
+    assert got[1].path == f"/{long_}" and got[1].verdict == "allow" and got[2].verdict == "block" and got[2].rule == "com/p"
