@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +29,36 @@ def scratch(spark: SparkSession, name: str) -> str:
 def discard_scratch(spark: SparkSession) -> int:
     """Deletes what this application's plans have left in the shared folder; gives the number of paths. For when results
     are saved elsewhere: frames that were returned read these tables."""
-    jvm, gone, made = spark.sparkContext._jvm, 0, _MADE.get(spark.sparkContext.applicationId, [])
+    made = _MADE.get(spark.sparkContext.applicationId, [])
+    gone = 0
     while made:
-        p = jvm.org.apache.hadoop.fs.Path(made.pop())
-        gone += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+        gone += _delete(spark, made.pop())
     return gone
 
 
+def tidied(make):
+    """Decorates a function that gives a frame: once it is made, the scratch tables behind it that the frame doesn't read
+    are deleted. Not for frames whose Python code reads scratch files by path."""
+
+    @functools.wraps(make)
+    def run(*args, **kwargs) -> DataFrame:
+        before = {p for paths in _MADE.values() for p in paths}
+        out = make(*args, **kwargs)
+        spark, read = out.sparkSession, {part for f in out.inputFiles() for part in f.split("/")[-3:]}
+        made = _MADE.get(spark.sparkContext.applicationId, [])
+        for path in [p for p in made if p not in before and p.rsplit("/", 1)[-1] not in read]:
+            made.remove(path)
+            _delete(spark, path)
+        return out
+
+    return run
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it again."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
