@@ -214,6 +214,38 @@ def block_extract(spark, d):
     return parsing.chunk(rows, OPTIONS).select("chunk_id", "chunk_type", F.array_join("heading_path", " > ").alias("heading"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+_BLOCK_PAGE = ("Intro ", "\n# ", "\nLead.\n| k | v |\n|---|---|\n| 1 | ", " |\n\n### Deep\n```\ncode ", "\n# no heading\n| no | table |\n```\nTail\n\n\nend ")
+_NL = lambda text: "'" + text.replace("\n", "' || chr(10) || '") + "'"
+
+
+@query("typed_blocks", f"""WITH b AS (SELECT s_suppkey, unnest([
+ {{'n': 1, 'kind': 'prose', 'heading': '', 'text': 'Intro ' || s_name}}, {{'n': 2, 'kind': 'prose', 'heading': s_name, 'text': 'Lead.'}},
+ {{'n': 3, 'kind': 'table', 'heading': s_name, 'text': {_NL(chr(10).join(("Lead.", "", "| k | v |", "|---|---|", "| 1 | ")))} || s_nationkey || ' |'}},
+ {{'n': 4, 'kind': 'code', 'heading': s_name || ' > Deep', 'text': {_NL("```" + chr(10) + "code ")} || s_suppkey || {_NL(chr(10).join(("", "# no heading", "| no | table |", "```")))}}},
+ {{'n': 5, 'kind': 'prose', 'heading': s_name || ' > Deep', 'text': {_NL(chr(10).join(("Tail", "", "end ")))} || s_acctbal::INT}}]) AS x FROM supplier)
+SELECT s_suppkey || '-' || lpad(x.n::VARCHAR, 5, '0') AS chunk_id, x.kind AS chunk_type, x.heading AS heading, md5(x.text) AS text_md5 FROM b""")
+def typed_blocks(spark, d):
+    """Pages of every kind of block, to chunks."""
+    values = ("s_name", "s_name", F.col("s_nationkey").cast("string"), F.col("s_suppkey").cast("string"), F.rint("s_acctbal").cast("int").cast("string"))
+    page = F.concat(*[x for part, value in zip(_BLOCK_PAGE, values, strict=True) for x in (F.lit(part), value)])
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("document_id"), F.col("s_suppkey").cast("string").alias("page_id"), F.col("s_name").alias("source_url"), F.col("s_name").alias("title"), page.alias("clean_markdown"))
+    return parsing.chunk(rows, OPTIONS).select("chunk_id", "chunk_type", F.array_join("heading_path", " > ").alias("heading"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+_REFERENCE = "'Функция PKCS#11: C_' || {0} || '()' || chr(10) || 'Разделы: Синтаксис; Параметры' || chr(10) || chr(10) || '## C_' || {0} || '()' || chr(10) || '### Синтаксис' || chr(10) || 'вызов ' || s_suppkey || chr(10) || '### Параметры' || chr(10) || 'нет'"
+
+
+@query("function_pages", f"""WITH b AS (SELECT s_suppkey, unnest([{{'n': 1, 'heading': 'C_Sign()', 'text': {_REFERENCE.format("'Sign'")}}}, {{'n': 2, 'heading': 'C_Verify()', 'text': {_REFERENCE.format("'Verify'")}}}]) AS x FROM supplier)
+SELECT s_suppkey || '-' || lpad(x.n::VARCHAR, 5, '0') AS chunk_id, x.heading AS heading, md5(x.text) AS text_md5 FROM b WHERE s_suppkey % 2 = 0""")
+def function_pages(spark, d):
+    """Reference blocks of pages whose title says so; other pages have none."""
+    part = lambda name: F.concat(F.lit(f"## C_{name}()\n### Синтаксис\nвызов "), F.col("s_suppkey").cast("string"), F.lit("\n### Параметры\n[к содержанию](x)\nнет\n"))
+    title = F.when(F.col("s_suppkey") % 2 == 0, "Функции подписи").otherwise("Функции PKCS")
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("document_id"), F.lit("1").alias("page_id"), F.col("s_name").alias("source_url"), title.alias("title"), F.concat(part("Sign"), part("Verify")).alias("clean_markdown"))
+    found = parsing.chunk(rows, OPTIONS).where("chunk_type = 'reference'")
+    return found.select("chunk_id", F.array_join("heading_path", " > ").alias("heading"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query("prose_windows", f"WITH {CHUNKS_SQL} SELECT doc_id, n::INT AS n, md5(text) AS text_md5 FROM chunks")
 def prose_windows(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(parsing.split_prose(txt.squeeze_lines(F.col("text")), OPTIONS.chunk_target_chars, OPTIONS.chunk_overlap_chars)).alias("at", "t"))

@@ -30,6 +30,21 @@ def query_analysis(spark, d):
     return analysis.analyze(rows, CORPUS).select("qid", "query_mode", "intent", "needs_code", "routing_confidence", "routing_reason", c.joined("entities.api_symbols").alias("api_symbols"))
 
 
+_ROUTED = (("mixed", "0.6", "mixed"), ("mixed", "0.5", "classic"), ("graph_first", "0.75", "graph_first"), ("graph_first", "0.7", "classic"), (" Classic ", "1", "classic"), ("bad", "9", "graph_first"), ("graph_first", "x", "classic"), ("graph_first", "7", "graph_first"))
+
+
+@query("routed_analysis", "SELECT item_id AS qid, [" + ", ".join(f"'{w}'" for *_, w in _ROUTED) + """][item_id % 8 + 1] AS query_mode, 'ios,linux,windows' AS os_tags, 'why' || item_id AS routing_reason FROM benchmark""")
+def routed_analysis(spark, d):
+    """What a router says counts by its confidence; its filters join those of the question."""
+    rows = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("архитектура linux и windows "), F.col("item_id").cast("string")).alias("question"))
+    said = lambda i: F.element_at(F.array(*[F.lit(r[i]) for r in _ROUTED]), (F.col("qid") % 8 + 1).cast("int"))
+    none = F.expr("cast(array() as array<string>)")
+    filters = F.struct(*[(F.array(F.lit("ios")) if f == "os_tags" else none).alias(f) for f in ent.FIELDS])
+    routed = rows.select("qid", said(0).alias("mode"), said(1).alias("confidence"), F.lit(None).cast("string").alias("rewritten"), F.concat(F.lit("why"), F.col("qid").cast("string")).alias("reason"), filters.alias("filters"))
+    found = analysis.analyze(rows, ent.Dictionary(), routed=routed)
+    return found.select("qid", "query_mode", c.joined("filters.os_tags").alias("os_tags"), "routing_reason")
+
+
 # ---- fusion
 
 _ORDER = {t: i for i, t in enumerate(dict.fromkeys(t for f in ent.FIELDS[:-1] for t in CORPUS.aliases.get(f, {}).values()))}
