@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -11,49 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.blocks import runs
+from ..sources.scratch import discard_scratch, scratch, shared_dir, tidied, written
+
+__all__ = ["discard_scratch", "runs", "scratch", "shared_dir", "tidied", "written"]
+
 #: Rows and text bytes that one step of a Python operator holds at once.
 BATCH_ROWS = 1024
 BATCH_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one made for this session."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isEmpty():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="sedimenta-"))
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return held.get().rstrip("/")
-
-
-_MADE: list[str] = []
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _MADE[-1]
-
-
-def discard_scratch(spark: SparkSession) -> int:
-    """Deletes what this driver's operators have left in the shared folder; gives the number of paths. For when results
-    are saved elsewhere: frames that operators returned read these tables."""
-    jvm, gone = spark.sparkContext._jvm, 0
-    while _MADE:
-        p = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        gone += bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True))
-    return gone
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it again."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """df, for Python: the session's Arrow batches are brought down to BATCH_BYTES, as both the JVM and Python hold whole
     ones. A session that has smaller ones keeps them."""
@@ -82,7 +48,8 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]
     return small_batches(df).mapInArrow(run, schema)
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
+def slices(batches: Iterable[pa.RecordBatch], most: int = BATCH_BYTES) -> Iterator[list[list]]:
+    """The columns as lists, of at most BATCH_ROWS rows and about `most` bytes."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -90,33 +57,13 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[list[list]]:
         while at < batch.num_rows:
             rows = min(BATCH_ROWS, batch.num_rows - at)
             part = batch.slice(at, rows)
-            while rows > 1 and part.nbytes > BATCH_BYTES:
+            while rows > 1 and part.nbytes > most:
                 rows = max(1, rows // 2)
                 part = batch.slice(at, rows)
             yield [c.to_pylist() for c in part.columns]
             at += rows
 
 
-def runs(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.Table]]:
-    """(key, rows) of each run of rows with equal values, none of them null, in the first `keys` columns."""
-    now, held = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
-        changed = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
-        edges = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
-        for first, last in zip(edges[:-1], edges[1:], strict=True):
-            key = tuple(c[first] for c in columns)
-            if key != now and held:
-                yield now, pa.Table.from_batches(held).combine_chunks()
-                held = []
-            now = key
-            held.append(batch.slice(first, last - first))
-    if held:
-        yield now, pa.Table.from_batches(held).combine_chunks()
-
-
 def _arrow_schema(spark: SparkSession, ddl: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

@@ -42,9 +42,3 @@ def test_rolling_tells_runs_apart():
         runs = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
         assert len(h) == len(runs) and all((h[i] == h[j]) == (runs[i] == runs[j]) for i in range(len(h)) for j in range(len(h)))
     assert len(common.rolling(words, 10)) == 0 and (common.rolling(words, 3, 1) != common.rolling(words, 3, 0)).all()
-
-
-def test_scratch_goes_where_the_session_says_and_is_discarded(spark):
-    held = common.written(spark.range(3), "test-scratch")
-    assert held.count() == 3 and common.scratch(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
-    assert common.discard_scratch(spark) > 0 and common.discard_scratch(spark) == 0

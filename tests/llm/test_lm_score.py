@@ -77,13 +77,14 @@ def test_equals_brute_force(spark, monkeypatch, hot):
     rows = ROWS[:16] + [(900 + i, prose(i, 20, 30)) for i in range(6)]
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, key int, kind int")
     train = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
-    close([tuple(r) for r in lm.score(docs, train).collect()], brute(rows, [r[0] is None or r[0] % 3 != 0 for r in rows]))
+    close([tuple(r)[:6] for r in lm.score(docs, train).collect()], brute(rows, [r[0] is None or r[0] % 3 != 0 for r in rows]))
 
 
 def test_odd_rows(spark, messy, empty):
     rows = lm.score(messy, ~lm.held_out()).collect()
     assert len(rows) == len(documents()) and all(r.score < 0 and r.base_score < 0 for r in rows)
     assert {r.n_tokens for r in rows if r.doc_id in (8, 9, 10)} == {1}
+    assert all(r.bits_per_byte == pytest.approx(-r.score * math.log2(10) / (r.n_bytes + 1)) for r in rows) and {r.n_bytes for r in rows if r.doc_id == 19} == {50_000}
     assert lm.score(empty, ~lm.held_out()).count() == 0
     alone = lm.score(messy, F.lit(False)).where("doc_id = 11").first()
     assert alone.train_tokens == 0 and alone.n_known == 0 and alone.score == pytest.approx(8 * 14 * math.log10(0.5))
@@ -92,3 +93,21 @@ def test_odd_rows(spark, messy, empty):
 def test_log_gamma_beyond_the_table():
     n = np.array([0.0, 5, lm._TABLE - 1, lm._TABLE, 10**6, 10**9])
     assert lm._log_gamma(n, lm._HALF, 0.5) == pytest.approx([math.lgamma(x + 0.5) for x in n], rel=1e-12)
+
+
+def test_entries_a_few_at_a_time(spark, monkeypatch):
+    """Long and repetitive texts too, against the recursion, in small pieces of the byte table."""
+    rows = [(0, "x" * 20_000), (1, "ab" * 3000 + "c"), (2, prose(1, 400, 30)), (3, prose(2, 100, 30)), (4, "x" * 50 + " ab")]
+    monkeypatch.setattr(lm, "AT_ONCE", 50)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    close([tuple(r)[:6] for r in lm.score(docs, F.col("doc_id") != 3).collect()], brute(rows, [r[0] != 3 for r in rows]))
+
+
+def test_hot_table():
+    rng = np.random.default_rng(1)
+    keys = np.unique(np.concatenate([rng.integers(-(2**62), 2**62, 5000), np.arange(-3, 3000)]))
+    values = rng.normal(size=len(keys))
+    for n in (0, 1, len(keys)):
+        hit, value = lm.Hot(keys[:n], values[:n]).find(keys)
+        assert not hit[n:].any() and hit[:n].mean() > 0.95 if n else not hit.any()
+        assert (value[hit] == values[hit]).all() and (value[~hit] == 0).all()
