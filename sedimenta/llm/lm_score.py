@@ -31,7 +31,7 @@ DEPTH, END = 5, 0xFF
 #: entries of the byte table that are worked on at once, or a triple's if it has more.
 HOT, HELD, AT_ONCE = 1 << 20, 1 << 20, 1 << 18
 #: Bytes of texts that are worked on at once: each takes some ten words of eight bytes.
-STEP_BYTES = 1 << 20
+STEP_BYTES = 1 << 19
 #: The baseline's pseudo-count.
 ALPHA = 0.1
 #: The key of the end token among the word hashes.
