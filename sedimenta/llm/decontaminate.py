@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
 
 SPAN, K = 13, 5
 WINDOW = SPAN - K + 1
@@ -42,6 +42,7 @@ def _fingerprints(rows: DataFrame, short: list[int]) -> DataFrame:
     return rows.withColumn("fp", F.expr(f"concat({', '.join([kept, *more])})")).drop("h")
 
 
+@tidied
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(id_col, text_hash, n_words, n_hit, n_items, item_ids, contaminated) for every row of docs.
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, runs, small_batches, written
+from .common import components, runs, small_batches, tidied, written
 
 COSINE = 0.93
 #: Lists: LISTS times the root of the largest label's vectors, one for every PER_LIST sample vectors at most. The sample:
@@ -235,6 +235,7 @@ def _met(groups: DataFrame, dims: int, n: int, most: int, cosine: float, sure: f
     return _reranked(_survivors(_indexed(groups, index), index), groups, dims, cosine)
 
 
+@tidied
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, sure: float = SURE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 

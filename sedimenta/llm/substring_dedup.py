@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, map_rows, rolling, slices, small_batches, written
+from .common import WordHashes, map_rows, rolling, slices, small_batches, tidied, written
 
 SPAN, K = 50, 8
 PHRASE, STRIDE = 10, 41
@@ -229,6 +229,7 @@ def bucket_of(col: str, buckets: int):
     return F.pmod(F.xxhash64(col), F.lit(buckets)).cast("int").alias("bucket")
 
 
+@tidied
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_hash, sha, n_words, n_removed, kept) for every row of docs; kept is null where nothing goes.
 

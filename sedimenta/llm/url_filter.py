@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import tidied, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: (verdict, host, path) of each rule of the query.
@@ -121,6 +121,7 @@ def by_host(mass: DataFrame, trust: str, distrust: str) -> DataFrame:
     return mass.groupBy(F.col("host").alias("of_host")).agg(*[F.sum(F.when(F.col("kind") == k, F.col("mass"))).alias(n) for k, n in (("trust", trust), ("distrust", distrust))])
 
 
+@tidied
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, host, path, rule, verdict, trust, distrust, trust_pages, distrust_pages) for every row of pages.
 
