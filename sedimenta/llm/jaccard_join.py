@@ -1,8 +1,9 @@
 """N-gram Jaccard join with Bayesian pruning of candidates.
 
 Documents with equal shingle sets collapse into one representative. Representatives that share a MinHash band are
-candidates. They are not paired up as rows: each goes into a block with others of its largest shared bucket, and pairs of
-blocks that share a bucket are compared block against block. Inside, MinHash values are compared a few at a time; a pair
+candidates. They are not paired up as rows: each goes into a block with others of its largest shared bucket. A block is
+packed once: its MinHash values, and its shingle sets as places in the list of all its shingles, which for a block of near
+copies is hardly longer than one set. Pairs of blocks that share a bucket are compared block against block. Inside, MinHash values are compared a few at a time; a pair
 is dropped once the posterior probability that its similarity reaches the threshold, given the matches so far and a
 uniform prior, falls below TOLERANCE. The rest are verified on the whole shingle sets. A block pair gives a row for
 each document that has links, so what is written grows with the documents, not with the pairs.
@@ -17,10 +18,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, components, map_rows, mix64, rolling, slices, small_batches, written
+from .common import WordHashes, components, map_rows, mix64, rolling, runs, slices, small_batches, tidied, written
 
 WORDS, THRESHOLD = 5, Fraction(4, 5)
 #: MinHash bands and values in each: a pair of similarity 0.8 shares no band with probability (1 - 0.8^5)^36 < 1e-6.
@@ -78,74 +80,86 @@ def least_matches(n: int, threshold: Fraction = THRESHOLD, tolerance: float = TO
 
 
 class Block:
-    """The documents of a pair of blocks: compares those of side 0 with those of side 1, or all if there is one side."""
-
-    def __init__(self, hashes: WordHashes, threshold: Fraction):
-        self.hashes, self.threshold = hashes, threshold
-        self.steps = [(n, least_matches(n, threshold)) for n in range(STEP, BANDS * ROWS + 1, STEP)]
-        self.clear()
-
-    def clear(self) -> None:
-        self.names, self.weights, self.sides, self.sets, self.seen = [], [], [], [], set()
-
-    def add(self, side: int, name: int, weight: int, digest: bytes, text: str) -> None:
-        found = shingles(text, self.hashes)
-        if name not in self.seen and set_digest(found) == digest:
-            self.seen.add(name)
-            self.names.append(name)
-            self.weights.append(weight)
-            self.sides.append(side)
-            self.sets.append(found)
-
-    def links(self) -> Iterator[tuple[int, int, int]]:
-        """(document, links weighted by copies, smallest document linked within the block) of documents with links."""
-        n = len(self.names)
-        if n < 2:
-            return
-        signatures = np.stack([signature(s) for s in self.sets])
-        sizes, weights, sides = np.array([len(s) for s in self.sets]), np.array(self.weights), np.array(self.sides)
-        universe, place = np.unique(np.concatenate(self.sets), return_inverse=True)
-        starts = np.concatenate(([0], np.cumsum(sizes)))
-        places = [place[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        here, counts, root = np.zeros(len(universe), bool), np.zeros(n, np.int64), list(range(n))
-        up, down = self.threshold.numerator, self.threshold.denominator
-        one_sided = len(set(self.sides)) == 1
-
-        def top(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for i in range(n - 1):
-            rest = np.arange(i + 1, n)
-            rest = rest if one_sided else rest[sides[rest] != sides[i]]
-            # a similarity of t needs sizes within a factor of t
-            rest = rest[(sizes[rest] * down >= sizes[i] * up) & (sizes[i] * down >= sizes[rest] * up)]
-            matches, before = np.zeros(len(rest), np.int64), 0
-            for upto, least in self.steps:
-                if not len(rest):
-                    break
-                matches += (signatures[rest, before:upto] == signatures[i, before:upto]).sum(1)
-                alive = matches >= least
-                rest, matches, before = rest[alive], matches[alive], upto
+    """The documents of a block: uids, doc_ids, copies, MinHash values, and shingle sets as places in `universe`."""
+
+    def __init__(self, uids, ids, copies, signatures, universe, sizes, places):
+        self.uids, self.ids, self.copies, self.signatures = uids, ids, copies, signatures
+        self.universe, self.sizes, self.places = universe, sizes, places
+
+    @classmethod
+    def of(cls, documents: list[tuple[int, int, int, np.ndarray]]) -> Block:
+        """From (uid, doc_id, copies, shingles)."""
+        uids, ids, copies, sets = zip(*documents, strict=True)
+        universe, places = np.unique(np.concatenate(sets), return_inverse=True)
+        return cls(*(np.array(x, np.int64) for x in (uids, ids, copies)), np.stack([signature(x) for x in sets]), universe, np.array([len(x) for x in sets], np.int64), places.astype(np.int64))
+
+    def pack(self) -> bytes:
+        """MinHash values by column and places as steps: near copies repeat there, and pack well."""
+        steps = np.diff(self.places, prepend=0).astype(np.int32)
+        parts = [self.uids, self.ids, self.copies, self.signatures.T, self.universe, self.sizes, steps]
+        head = np.array([len(self.uids), len(self.universe), len(steps)], np.int64)
+        return zstandard.compress(b"".join(np.ascontiguousarray(x).tobytes() for x in (head, *parts)), 1)
+
+    @classmethod
+    def unpack(cls, packed: bytes) -> Block:
+        raw, at = zstandard.decompress(packed), 24
+        n, kinds, steps = np.frombuffer(raw, np.int64, 3).tolist()
+        parts = []
+        for kind, count in ((np.int64, n), (np.int64, n), (np.int64, n), (np.uint32, n * BANDS * ROWS), (np.uint64, kinds), (np.int64, n), (np.int32, steps)):
+            parts.append(np.frombuffer(raw, kind, count, at))
+            at += parts[-1].nbytes
+        signatures = np.ascontiguousarray(parts[3].reshape(BANDS * ROWS, n).T)
+        return cls(*parts[:3], signatures, parts[4], parts[5], np.cumsum(parts[6], dtype=np.int64))
+
+
+def linked(one: Block, other: Block | None, threshold: Fraction) -> Iterator[tuple[int, int, int, int]]:
+    """(uid, doc_id, links weighted by copies, smallest doc_id linked within the blocks) of documents with links. Those of one
+    block are compared with those of the other, or among themselves if there is no other."""
+    steps = [(n, least_matches(n, threshold)) for n in range(STEP, BANDS * ROWS + 1, STEP)]
+    blocks = [one] if other is None else [one, other]
+    uids, ids, weights, sizes, signatures = (np.concatenate([getattr(b, x) for b in blocks]) for x in ("uids", "ids", "copies", "sizes", "signatures"))
+    universe = one.universe if other is None else np.union1d(one.universe, other.universe)
+    place = np.concatenate([np.searchsorted(universe, b.universe)[b.places] for b in blocks])
+    n, split = len(uids), len(one.uids)
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    places = [place[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    here, counts, root, names = np.zeros(len(universe), bool), np.zeros(n, np.int64), list(range(n)), ids.tolist()
+    up, down = threshold.numerator, threshold.denominator
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for i in range(n if other is None else split):
+        rest = np.arange(i + 1 if other is None else split, n)
+        # a similarity of t needs sizes within a factor of t
+        rest = rest[(sizes[rest] * down >= sizes[i] * up) & (sizes[i] * down >= sizes[rest] * up)]
+        matches, before = np.zeros(len(rest), np.int64), 0
+        for upto, least in steps:
             if not len(rest):
-                continue
-            here[places[i]] = True
-            ends = np.concatenate(([0], np.cumsum(sizes[rest])[:-1]))
-            common = np.add.reduceat(here[np.concatenate([places[j] for j in rest])].astype(np.int64), ends)
-            here[places[i]] = False
-            linked = rest[common * down >= (sizes[i] + sizes[rest] - common) * up]
-            if len(linked):
-                counts[i] += weights[linked].sum()
-                counts[linked] += weights[i]
-                for j in linked.tolist():
-                    a, b = top(i), top(j)
-                    if a != b:
-                        a, b = sorted((a, b), key=self.names.__getitem__)
-                        root[b] = a
-        for i in np.flatnonzero(counts).tolist():
-            yield self.names[i], int(counts[i]), self.names[top(i)]
+                break
+            matches += (signatures[rest, before:upto] == signatures[i, before:upto]).sum(1)
+            alive = matches >= least
+            rest, matches, before = rest[alive], matches[alive], upto
+        if not len(rest):
+            continue
+        here[places[i]] = True
+        ends = np.concatenate(([0], np.cumsum(sizes[rest])[:-1]))
+        common = np.add.reduceat(here[np.concatenate([places[j] for j in rest])].astype(np.int64), ends)
+        here[places[i]] = False
+        found = rest[common * down >= (sizes[i] + sizes[rest] - common) * up]
+        if len(found):
+            counts[i] += weights[found].sum()
+            counts[found] += weights[i]
+            for j in found.tolist():
+                a, b = top(i), top(j)
+                if a != b:
+                    a, b = (a, b) if names[a] <= names[b] else (b, a)
+                    root[b] = a
+    for i in np.flatnonzero(counts).tolist():
+        yield int(uids[i]), names[i], int(counts[i]), names[top(i)]
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -163,31 +177,52 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return map_rows(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), make, "doc_id long, digest binary, size int, bands array<long>")
 
 
-def compare(rows: DataFrame, threshold: Fraction) -> DataFrame:
-    """(doc_id, links, to) from rows (a, b, side, doc_id, copies, digest, text), dealt out and sorted by (a, b)."""
+def packed(texts: DataFrame) -> DataFrame:
+    """(block, packed) from rows (block, uid, doc_id, copies, digest, text), several texts to a uid perhaps, of which that
+    with the digest counts. A block is one row; its documents and shingles are bounded as far as single texts are."""
+    dealt = texts.select("block", "uid", "doc_id", "copies", "digest", "text").repartition("block").sortWithinPartitions("block", "uid")
 
     def run(batches):
-        block, now, out = Block(WordHashes(), threshold), None, []
-        kinds = pa.schema([("doc_id", pa.int64()), ("links", pa.int64()), ("to", pa.int64())])
-        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=kinds)
+        hashes, now, held, seen = WordHashes(), None, [], set()
+
+        def pack():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([Block.of(held).pack()], pa.binary())], ["block", "packed"])
+
         for columns in slices(batches):
-            for a, b, *row in zip(*columns, strict=True):
-                if (a, b) != now:
-                    out += block.links()
-                    block.clear()
-                    now = a, b
-                    if len(out) > 10_000:
+            for block, uid, doc_id, copies, digest, text in zip(*columns, strict=True):
+                if block != now:
+                    if held:
                         yield pack()
-                        out = []
-                block.add(*row)
-        out += block.links()
-        if out:
+                    now, held, seen = block, [], set()
+                found = shingles(text, hashes)
+                if uid not in seen and set_digest(found) == digest:
+                    seen.add(uid)
+                    held.append((uid, doc_id, copies, found))
+        if held:
             yield pack()
 
-    return small_batches(rows).mapInArrow(run, "doc_id long, links long, to long")
+    return small_batches(dealt).mapInArrow(run, "block long, packed binary")
+
+
+def compare(rows: DataFrame, threshold: Fraction) -> DataFrame:
+    """(uid, doc_id, links, to) from rows (a, b, packed): the one or two blocks of a pair, dealt out and sorted by (a, b)."""
+    kinds = pa.schema([(c, pa.int64()) for c in ("uid", "doc_id", "links", "to")])
+
+    def run(batches):
+        out = []
+        for _, pair in runs(batches, 2):
+            out += linked(*[Block.unpack(x) for x in pair["packed"].to_pylist()], *[None] * (2 - len(pair)), threshold)
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=kinds)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=kinds)
+
+    return small_batches(rows).mapInArrow(run, "uid long, doc_id long, links long, to long")
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD) -> DataFrame:
+@tidied
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: Fraction = THRESHOLD, rounds: int = 60) -> DataFrame:
     """(doc_id, class_id, n_links) for every row of docs.
 
     Documents link if the Jaccard similarity of their sets of five-word shingles is at least the threshold. Words are
@@ -195,49 +230,49 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresh
     and links with nothing. n_links counts the other rows linked directly, copies included; class_id is the smallest
     doc_id that links lead to. Rows with a null id link with nothing and have a null class. Rows that share an id count
     each, and their classes join. Other columns aren't read. Whole texts are compared; a very long one makes its block
-    larger than aimed at.
+    larger than aimed at. Classes that take more than `rounds` rounds to come together raise RuntimeError.
     """
-    found = written(sketch(docs, id_col, text_col), "jaccard-sketch")
-    sets = found.where("size > 0").groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    sets = written(sets, "jaccard-copies")
-    found = found.join(sets, "digest", "left").withColumn("first", F.coalesce("first", "doc_id")).withColumn("copies", F.coalesce("copies", F.lit(1).cast("long")))
+    # A row's uid holds from here on, as it is written.
+    found = written(sketch(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "jaccard-sketch")
+    sets = found.where("size > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "uid")).alias("of"), F.count("*").alias("copies")).where("copies > 1")
+    sets = written(sets.select("digest", F.col("of.doc_id").alias("first"), F.col("of.uid").alias("first_uid"), "copies"), "jaccard-copies")
+    found = found.join(sets, "digest", "left").withColumns({"first": F.coalesce("first", "doc_id"), "first_uid": F.coalesce("first_uid", "uid"), "copies": F.coalesce("copies", F.lit(1).cast("long"))})
     found = written(found, "jaccard-docs")
-    reps = found.where("size > 0 and doc_id = first").select("doc_id", "digest", "size", "copies", "bands").dropDuplicates(["doc_id", "digest"])
-    keys = written(reps.select("doc_id", "size", F.explode("bands").alias("key")), "jaccard-keys")
+    reps = found.where("size > 0 and uid = first_uid").select("uid", "doc_id", "digest", "size", "copies", "bands")
+    keys = written(reps.select("uid", "size", F.explode("bands").alias("key")), "jaccard-keys")
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "jaccard-buckets")
     live = written(keys.join(shared, "key"), "jaccard-live")
     # A document's home is its largest bucket; then the largest home among those it shares a bucket with, so that a
     # large group comes together in few homes.
     best = lambda rows, by, *more: rows.groupBy(by).agg(F.max(F.struct("n", "home")).alias("best"), *more).select(by, F.col("best.n").alias("n"), F.col("best.home").alias("home"), *["size"][: len(more)])
-    first = written(best(live.withColumnRenamed("key", "home"), "doc_id"), "jaccard-homes")
-    near = written(best(live.select("doc_id", "key").join(first, "doc_id"), "key"), "jaccard-homes")
-    home = written(best(live.select("doc_id", "size", "key").join(near, "key"), "doc_id", F.max("size").alias("size")), "jaccard-homes")
+    first = written(best(live.withColumnRenamed("key", "home"), "uid"), "jaccard-homes")
+    near = written(best(live.select("uid", "key").join(first, "uid"), "key"), "jaccard-homes")
+    home = written(best(live.select("uid", "size", "key").join(near, "key"), "uid", F.max("size").alias("size")), "jaccard-homes")
     cells = home.groupBy("home").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("cells"))
-    member = home.join(written(cells, "jaccard-cells"), "home").select("doc_id", F.xxhash64("home", F.pmod(F.xxhash64("doc_id"), "cells")).alias("block"))
+    member = home.join(written(cells, "jaccard-cells"), "home").select("uid", F.xxhash64("home", F.pmod(F.xxhash64("uid"), "cells")).alias("block"))
     member = written(member, "jaccard-members")
-    touched = written(live.select("doc_id", "key").join(member, "doc_id").select("key", "block").distinct(), "jaccard-touched")
+    touched = written(live.select("uid", "key").join(member, "uid").select("key", "block").distinct(), "jaccard-touched")
     pairs = touched.withColumnRenamed("block", "a").join(touched.withColumnRenamed("block", "b"), "key").where("a <= b").select("a", "b").distinct()
-    sides = written(pairs.select("a", "b", F.explode(F.expr("if(a = b, array(struct(0 as side, a as block)), array(struct(0 as side, a as block), struct(1 as side, b as block)))")).alias("s")).select("a", "b", "s.side", "s.block"), "jaccard-pairs")
+    sides = written(pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block")), "jaccard-pairs")
     # Without partners in any bucket, a document's text isn't needed again.
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(member.hint("merge"), "doc_id")
-    texts = written(texts.join(reps.select("doc_id", "digest", "copies"), "doc_id"), "jaccard-texts")
-    rows = sides.join(texts, "block").select("a", "b", "side", "doc_id", "copies", "digest", "text")
-    rows = rows.repartition("a", "b").sortWithinPartitions("a", "b")
+    known = written(reps.select("uid", "doc_id", "digest", "copies").join(member, "uid"), "jaccard-known")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).join(known.hint("merge"), "doc_id")
+    blocks = written(packed(texts), "jaccard-blocks")
+    rows = sides.join(blocks.hint("merge"), "block").select("a", "b", "packed").repartition("a", "b").sortWithinPartitions("a", "b")
     met = written(compare(rows, threshold), "jaccard-links")
-    links = written(met.groupBy(F.col("doc_id").alias("first")).agg(F.sum("links").alias("links")), "jaccard-counts")
-    classes = components(met.where("doc_id <> to").select(F.col("doc_id").alias("u"), F.col("to").alias("v")), "jaccard")
-    rest = written(links.join(classes.withColumnRenamed("node", "first"), "first", "left"), "jaccard-classes")
-    out = found.select("doc_id", "first", "copies").join(rest, "first", "left")
+    links = written(met.groupBy(F.col("uid").alias("first_uid")).agg(F.sum("links").alias("links")), "jaccard-counts")
+    classes = written(components(met.where("doc_id <> to").select(F.col("doc_id").alias("u"), F.col("to").alias("v")), "jaccard", rounds).withColumnRenamed("node", "first"), "jaccard-classes")
+    out = found.select("doc_id", "first", "first_uid", "copies").join(links, "first_uid", "left").join(classes, "first", "left")
     return out.select("doc_id", F.coalesce("component", "first").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that stand for their class: those with its smallest id, and all rows
-    with a null id. Of rows that repeat an id, one stays."""
+    with a null id. Of rows that repeat an id and text, one stays."""
     gone = written(join(docs, id_col, text_col).where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
     again = written(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__again")).agg(F.count("*").alias("__n")).where("__n > 1").select("__again"), "jaccard-again")
     kept = docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
-    return kept.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col]))
+    return kept.join(again, F.col(id_col) == F.col("__again"), "left_anti").unionByName(kept.join(again, F.col(id_col) == F.col("__again"), "left_semi").dropDuplicates([id_col, text_col]))
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -56,6 +56,29 @@ def test_large_group_over_many_blocks(spark, monkeypatch, block):
     assert sorted(found(spark.createDataFrame(rows, "doc_id long, text string")), key=key) == sorted(brute(rows), key=key)
 
 
+def test_texts_that_share_an_id_link_each(spark):
+    a, b = prose(1, 100), prose(2, 100)
+    edit = lambda t: " ".join(["changed", *t.split()[1:]])
+    rows = [(1, a), (1, b), (1, b), (2, edit(a)), (3, edit(b)), (4, prose(3, 100))]
+    assert sorted(found(spark.createDataFrame(rows, "doc_id long, text string")), key=key) == sorted(brute(rows), key=key)
+    kept = jj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([(1, a), (1, b), (4, prose(3, 100))])
+
+
+def test_blocks_are_packed_whole_and_small():
+    base, sets = prose(1, 400).split(), []
+    for i in range(200):
+        w = list(base)
+        w[2 * i] = f"edit{i}"
+        sets.append((i, 1000 + i, 1, jj.shingles(" ".join(w), jj.WordHashes())))
+    block = jj.Block.of(sets)
+    packed = block.pack()
+    again = jj.Block.unpack(packed)
+    for name in ("uids", "ids", "copies", "signatures", "universe", "sizes", "places"):
+        assert (getattr(again, name) == getattr(block, name)).all()
+    assert len(packed) < 0.2 * sum(len(s) * 8 for *_, s in sets)
+
+
 def test_empty_and_kept(messy, empty):
     assert found(empty) == []
     kept = [r.doc_id for r in jj.one_of_each(messy).select("doc_id").collect()]
