@@ -73,3 +73,25 @@ def test_append_and_discard(spark, held, monkeypatch):
     assert held.read("a").select(F.sum("v")).first()[0] == 10
     assert held.discard() == 0 and held.versions() == [4, 5]
     assert held.discard(older_than=-10) == 3 and held.read("a").count() == 5 and held.read("a", 4).count() == 4
+
+
+def test_sets_without_questions_or_runs(spark):
+    from sedimenta.sources import store
+
+    sets = spark.createDataFrame([("a", "A", "2024-01-01", "2024-01-02"), ("b", "B", "2024-01-01", "2024-01-03")], "id string, name string, created_at string, updated_at string")
+    questions = spark.createDataFrame([("a", 2, "k2", "second"), ("a", 1, "k1", "first")], "set_id string, position int, case_key string, question string")
+    runs = spark.createDataFrame([], "set_id string, created_at string")
+    assert [(r.id, r.question_count, r.last_run_at) for r in store.list_sets(sets, questions, runs).collect()] == [("b", 0, None), ("a", 2, None)]
+    detail = {r.id: r.questions for r in store.set_detail(sets, questions).collect()}
+    assert [q.question for q in detail["a"]] == ["first", "second"] and detail["b"] is None
+
+
+def test_checked_questions(spark):
+    from sedimenta.sources import store
+
+    s = store.Store(spark, "file:///nowhere")
+    row = s._question_rows("s", [{"question": " q ", "id": 7, "tags": None}, {"question": "r", "case_key": " k "}, {"question": "t"}]).orderBy("position").collect()
+    assert [(r.case_key, r.question, r.tags, r.expected_refusal) for r in row] == [("7", "q", [], False), ("k", "r", [], False), ("case-3", "t", [], False)]
+    for items, message in (([{"question": "q"}, {"question": " "}], "question 2 lacks"), ([{"question": "q", "case_key": " "}], "question 1 lacks"), ([{"question": "q", "case_key": "k"}, {"question": "r", "id": "k"}], "2 questions share the key 'k'")):
+        with pytest.raises(ValueError, match=message):
+            s._question_rows("s", items)
