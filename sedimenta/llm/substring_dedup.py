@@ -29,8 +29,9 @@ PHRASE, STRIDE = 10, 41
 LETTERS = np.uint64(0x7FFFFFFF)
 #: Windows that start in one segment; bytes of text in a bucket.
 STARTS, BUCKET = 150, 5 << 20
-#: Segments of a mark beyond which windows deal them out.
-COMMON = 4
+#: Segments of a mark beyond which windows deal them out: a mark lies in up to so many windows, so that with fewer
+#: segments these are the fewer rows.
+COMMON = SPAN - K + 1
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -63,6 +63,7 @@ def test_kept_texts(spark, messy, empty):
 def test_a_phrase_of_many_passages_deals_few_segments(spark, monkeypatch):
     """40 passages share a phrase, each in two documents: buckets get their own passages, not all that have the phrase."""
     monkeypatch.setattr(sd, "BUCKET", 3000)
+    monkeypatch.setattr(sd, "COMMON", 4)
     phrase = prose(1, 30)
     rows = [(i, f"{prose(300 + i % 40, 40)} {phrase} {prose(400 + i % 40, 40)} {prose(500 + i, 5)}") for i in range(80)]
     dealt, held = [], sd.dealt_segments
