@@ -24,9 +24,9 @@ DIMENSIONS, GRAM, SYMBOLS, SEED = 2048, 3, 128, 20240229
 SLAB, KINDS = 1 << 19, 2048
 UNKNOWN = "und"
 #: Where documents are kept or not: the score below which no text counts as in a known language; how much of the lowest score
-#: of learned texts of its length (by powers of two) a text needs besides; texts that this is taken from, about, and how
-#: many a length needs among them, else the next shorter length counts.
-LEAST, SHARE, CALIBRATION, ENOUGH = 0.05, 0.9, 8192, 30
+#: of learned texts of its length (by powers of two) a text needs besides; and how many of them a length needs, else the
+#: next shorter length counts.
+LEAST, SHARE, ENOUGH = 0.05, 0.9, 30
 
 
 def symbol_table() -> np.ndarray:
@@ -175,11 +175,10 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "
 
 def score_bounds(labelled: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang") -> list[float]:
     """The score that keep_known() wants of a text, by the power of two of its length: SHARE of the lowest that a learned
-    text of that length has which is told rightly. From about CALIBRATION of the labelled rows, by hash of their texts. A
-    length with fewer than ENOUGH of them takes the bound of the next shorter one, as scores rise with length; without any
-    it is LEAST, and never less."""
-    rows = labelled.where(F.length(text_col) > 0).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    part = max(1, labelled.count() // CALIBRATION)
+    text of that length has which is told rightly, over all labelled rows. A length with fewer than ENOUGH of them takes
+    the bound of the next shorter one, as scores rise with length; without any it is LEAST, and never less. The driver
+    gets a row a length."""
+    rows = labelled.where((F.length(text_col) > 0) & F.col(lang_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     names, units = list(prototypes), unit_rows(prototypes)
 
     def make():
@@ -193,7 +192,7 @@ def score_bounds(labelled: DataFrame, prototypes: dict[str, np.ndarray], text_co
 
         return step
 
-    lows = map_rows(rows.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0), make, "length int, score double")
+    lows = map_rows(rows, make, "length int, score double")
     seen = {r.length: r for r in lows.groupBy("length").agg(F.count("*").alias("n"), F.min("score").alias("low")).collect()}  # at most 32
     out = []
     for length in range(32):

@@ -102,3 +102,16 @@ def test_long_texts_in_an_unlearned_language_go(spark):
     kept = {r.doc_id for r in li.keep_known(docs, prototypes, bounds).collect()}
     assert kept == {r[0] for r in rows} - set(range(1000, 1005))
     assert li.score_bounds(docs.where("false"), {}) == [li.LEAST] * 32
+
+
+def test_bounds_come_from_all_labelled_texts(spark):
+    rng, words = random.Random(11), ["the", "and", "ing", "tion", "with", "er", "zz"]
+    rows = [(i, " ".join(rng.choices(words, k=rng.choice((4, 9, 20)))), "en") for i in range(16_500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    prototypes = li.train(docs)
+    scores = {}
+    for r in li.identify(docs, prototypes).collect():
+        scores.setdefault(len(rows[r.doc_id][1]).bit_length() - 1, []).append(r.score)
+    bounds = li.score_bounds(docs, prototypes)
+    many = [k for k in scores if len(scores[k]) >= li.ENOUGH]
+    assert len(many) >= 3 and all(bounds[k] == pytest.approx(max(li.LEAST, li.SHARE * min(scores[k])), rel=1e-9) for k in many)
