@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from array import array
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from .common import map_rows
 from .pieces import Vocabulary, default_vocabulary
 
-#: Bounds of what a worker keeps: encoded words, trie nodes, and the longest word (bytes) put in the trie.
+#: Bounds of what a worker keeps: encoded words, edges of the automaton beyond which no jumps are added to it, and the
+#: longest word (bytes) put in the trie.
 WORDS, NODES, LONG = 250_000, 250_000, 256
 
 
@@ -22,18 +24,53 @@ class TrieEncoder:
     shorter prefix. So a trie node needs one state, the last token of its prefix, found from the states of its
     ancestors: the token must end the prefix, and together with the last token of the prefix before it be a pair
     that no merge would join across. Following last tokens towards the root gives the whole encoding. Words are
-    taken in byte order, which visits the trie depth first; each shared prefix is worked out once.
+    taken in byte order, which visits the trie depth first, so only the path to the root is held; each shared prefix is
+    worked out once. The tokens that end a prefix, longest first, come from an Aho-Corasick automaton of the vocabulary.
     """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
+        self._link()
         self.words: dict[str, bytes] = {}
         self.apart: dict[int, bool] = {}
-        self._clear()
 
-    def _clear(self) -> None:
-        self.child: dict[int, int] = {}
-        self.last, self.before = array("i", [-1]), array("i", [-1])
+    def _link(self) -> None:
+        """The automaton: step by state and byte, back to the longest proper suffix that is a state too; the longest token
+        that ends a state, and the next shorter one that ends a token, -1 for none."""
+        self.step, self.back, self.ends = {}, [0], [-1]
+        step, back, ends, levels = self.step, self.back, self.ends, [[] for _ in range(self.v.longest)]
+        for raw, token in self.v.ids.items():
+            at = 0
+            for depth, byte in enumerate(raw):
+                to = step.get(at << 8 | byte)
+                if to is None:
+                    to = step[at << 8 | byte] = len(back)
+                    back.append(0)
+                    ends.append(-1)
+                    levels[depth].append((at, byte, to))
+                at = to
+            ends[at] = token
+        self.shorter, self.size = [-1] * self.v.size, list(map(len, self.v.bytes))
+        self.single = [array("I", [i]).tobytes() for i in range(self.v.size)]
+        for depth, states in enumerate(levels):
+            for at, byte, to in states:
+                back[to] = self._next(back[at], byte) if depth else 0
+                rest = ends[back[to]]
+                if ends[to] < 0:
+                    ends[to] = rest
+                else:
+                    self.shorter[ends[to]] = rest
+
+    def _next(self, at: int, byte: int) -> int:
+        """The state after one more byte."""
+        step, edge = self.step, at << 8 | byte
+        to = step.get(edge)
+        while to is None and at:
+            at = self.back[at]
+            to = step.get(at << 8 | byte)
+        if len(step) < NODES:
+            step[edge] = to or 0
+        return to or 0
 
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether encoding the bytes of both tokens gives just these two.
@@ -66,58 +103,48 @@ class TrieEncoder:
         self.apart[key] = free
         return free
 
-    def _token(self, word: bytes, end: int, last_at) -> int:
-        """The last token of word[:end]; last_at(i) is that of word[:i]."""
-        ids = self.v.ids
-        for start in range(max(0, end - self.v.longest), end):
-            token = ids.get(word[start:end])
-            if token is not None and (start == 0 or self.stays_apart(last_at(start), token)):
-                return token
-        raise ValueError("a byte has no token")
-
-    def _grow(self, words: list[bytes]) -> list[array]:
+    def _grow(self, words: list[bytes]) -> list[bytes]:
         """Encodings of sorted distinct words: a depth-first walk of their trie."""
-        child, last, before, ids, apart = self.child, self.last, self.before, self.v.ids, self.apart
-        path, previous, out = [0] * (LONG + 1), b"", []
-        longest = self.v.longest
+        step, ends, shorter, size, single, apart = self.step, self.ends, self.shorter, self.size, self.single, self.apart
+        # of the node at each depth of the path
+        state, last, whole = [0] * (LONG + 1), [-1] * (LONG + 1), [b""] * (LONG + 1)
+        previous, out = b"", []
         for word in words:
-            shared, most = 0, min(len(previous), len(word))
-            while shared < most and previous[shared] == word[shared]:
-                shared += 1
-            for end in range(shared + 1, len(word) + 1):
-                edge = path[end - 1] << 8 | word[end - 1]
-                node = child.get(edge)
-                if node is None:
-                    for start in range(max(0, end - longest), end):
-                        token = ids.get(word[start:end])
-                        if token is None:
-                            continue
-                        if not start:
-                            break
-                        held = last[path[start]]
-                        fits = apart.get(held << 32 | token)
-                        if fits or (fits is None and self.stays_apart(held, token)):
-                            break
-                    else:
-                        raise ValueError("a byte has no token")
-                    node = child[edge] = len(last)
-                    last.append(token)
-                    before.append(path[start])
-                path[end] = node
-            node, found = path[len(word)], array("I")
-            while node:
-                found.append(last[node])
-                node = before[node]
-            found.reverse()
-            out.append(found)
+            end, most = 0, min(len(previous), len(word))
+            while end < most and previous[end] == word[end]:
+                end += 1
+            at = state[end]
+            for byte in word[end:]:
+                end += 1
+                to = step.get(at << 8 | byte)
+                at = state[end] = self._next(at, byte) if to is None else to
+                token = ends[at]
+                while token >= 0:
+                    start = end - size[token]
+                    if not start:
+                        break
+                    fits = apart.get(last[start] << 32 | token)
+                    if fits or (fits is None and self.stays_apart(last[start], token)):
+                        break
+                    token = shorter[token]
+                else:
+                    raise ValueError("a byte has no token")
+                last[end], whole[end] = token, whole[start] + single[token]
+            out.append(whole[end])
             previous = word
         return out
 
     def _line(self, word: bytes) -> array:
         """A long word: its trie is one path, so two arrays do."""
-        last = array("i", [-1])
-        for end in range(1, len(word) + 1):
-            last.append(self._token(word, end, last.__getitem__))
+        last, at = array("i", [-1]), 0
+        for end, byte in enumerate(word, 1):
+            at = self._next(at, byte)
+            token = self.ends[at]
+            while token >= 0 and end > self.size[token] and not self.stays_apart(last[end - self.size[token]], token):
+                token = self.shorter[token]
+            if token < 0:
+                raise ValueError("a byte has no token")
+            last.append(token)
         found, end = array("I"), len(word)
         while end:
             found.append(last[end])
@@ -127,21 +154,15 @@ class TrieEncoder:
 
     def learn(self, words: set[str]) -> None:
         """Adds the encodings of new distinct words."""
-        if len(self.last) > NODES:
-            self._clear()
-        plain = []
-        for w in words:
-            if w in self.v.special:
-                self.words[w] = array("I", [self.v.special[w]]).tobytes()
-                continue
-            raw = w.encode()
-            if len(raw) > LONG:
-                self.words[w] = self._line(raw).tobytes()
-            else:
-                plain.append((raw, w))
-        plain.sort()
-        for (_, w), found in zip(plain, self._grow([raw for raw, _ in plain]), strict=True):
-            self.words[w] = found.tobytes()
+        plain = sorted(words)  # as their bytes would be
+        raw = [w.encode() for w in plain]
+        special, lined = words & self.v.special.keys(), [w for w, x in zip(plain, raw, strict=True) if len(x) > LONG]
+        if special or lined:
+            odd = special.union(lined)
+            self.words.update((w, self.single[self.v.special[w]] if w in special else self._line(w.encode()).tobytes()) for w in odd)
+            plain = [w for w in plain if w not in odd]
+            raw = [w.encode() for w in plain]
+        self.words.update(zip(plain, self._grow(raw), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, as native unsigned 32-bit integers."""
@@ -160,6 +181,12 @@ class TrieEncoder:
         return b"".join([tokens[i] for i in array("I", ids)]).decode("utf-8", "replace")
 
 
+@lru_cache(maxsize=1)
+def worker_coder(path: str) -> TrieEncoder:
+    """One for all tasks of a worker: what one task has encoded, the next knows."""
+    return TrieEncoder(Vocabulary(path))
+
+
 def _little(ids: bytes) -> bytes:
     if sys.byteorder == "little":
         return ids
@@ -178,7 +205,7 @@ def bpe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: s
     path = path or default_vocabulary()
 
     def make():
-        coder = TrieEncoder(Vocabulary(path))
+        coder = worker_coder(path)
 
         def step(columns):
             ids = coder.encode([t or "" for t in columns[1]])

@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 from conftest_path import documents
 from hypothesis import given, settings
@@ -44,3 +46,26 @@ def test_small_caches_change_nothing(monkeypatch):
     coder = bpe.TrieEncoder(CODER.v)
     for text in ("some words here and more words", "x" * 700, "some other words"):
         assert np.frombuffer(coder.encode([text])[0], np.uint32).tolist() == ids(text)
+
+
+def test_learning_tries_few_tokens_a_byte(monkeypatch):
+    """Compounds, as most new words are: a search of the vocabulary for every suffix of every prefix costs many lookups a byte."""
+
+    class Counted(dict):
+        looked = 0
+
+        def get(self, *key):
+            Counted.looked += 1
+            return super().get(*key)
+
+    vocabulary = Vocabulary(default_vocabulary())
+    monkeypatch.setattr(vocabulary, "ids", Counted(vocabulary.ids))
+    coder, rng = bpe.TrieEncoder(vocabulary), random.Random(5)
+    text = " ".join("".join(rng.choices(["the", "schaft", "ción", "eau", "tion", "ing", "ü", "ß", "中"], k=rng.randint(2, 6))) for _ in range(400)) + " " + "ation" * 80
+    Counted.looked = 0
+    assert np.frombuffer(coder.encode([text])[0], np.uint32).tolist() == ids(text)
+    assert Counted.looked <= len(text.encode())
+
+
+def test_tasks_of_a_worker_share_a_coder():
+    assert bpe.worker_coder(default_vocabulary()) is bpe.worker_coder(default_vocabulary())
