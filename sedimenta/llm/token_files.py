@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Files, attempt_name, map_rows, qualified, scratch, slices, small_batches, written
-from .pieces import Vocabulary, default_vocabulary
+from .pieces import Vocabulary, byte_chars, default_vocabulary
 
 #: Fixed value: what a token file starts with.
 MAGIC = b"RANKVB1\n"
@@ -61,6 +61,7 @@ class LibraryEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
@@ -69,6 +70,9 @@ class LibraryEncoder:
         try:
             vocabulary = Vocabulary(path)
             self.pieces, self.sizes = vocabulary.pieces, np.array([len(t) for t in vocabulary.bytes])
+            self.model = Tokenizer(self.lib.model)
+            self.model.pre_tokenizer = CharDelimiterSplit("\n")
+            self.stand_in = {b: c for c, b in byte_chars().items() if b != 10}
         except (ValueError, KeyError):
             self.pieces = None
         self.known: dict[str, bytes] = {}
@@ -77,14 +81,15 @@ class LibraryEncoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.lib.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, new: list[str]) -> None:
-        """Pieces that are a space and letters stay pieces when joined, so they go through the library in one text;
-        the ids of each end where its bytes do."""
+        """Pieces that are a space and letters go through the library's model line by line, their bytes written as the
+        vocabulary does, as the library needn't split them again; the ids of each end where its bytes do."""
         lined, rest = [], []
         for p in new:
             (lined if p[0] == " " and p[1:].isalpha() else rest).append(p)
         self.known.update(zip(rest, self._through(rest), strict=True))
         if lined:
-            raw = b"".join(self._through(["".join(lined[at : at + JOINED]) for at in range(0, len(lined), JOINED)]))
+            texts = ["\n".join(lined[at : at + JOINED]).encode().decode("latin-1").translate(self.stand_in) for at in range(0, len(lined), JOINED)]
+            raw = b"".join([np.array(e.ids, self.kind).tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)])
             ends = np.cumsum([len(p.encode()) for p in lined])
             after = np.cumsum(self.sizes[np.frombuffer(raw, self.kind)])
             cuts = np.searchsorted(after, ends) + 1

@@ -46,3 +46,13 @@ def test_files_round_trip(spark, tmp_path, monkeypatch, messy, block):
 def test_empty(spark, tmp_path, empty):
     tf.write_tokens(empty, f"file://{tmp_path}/none")
     assert tf.read_tokens(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_new_words_skip_the_librarys_splitter(monkeypatch):
+    """Words are split already; only pieces that aren't a space and letters go through the library's own pre-tokenizer."""
+    coder, seen = tf.LibraryEncoder(default_vocabulary()), []
+    through = coder._through
+    monkeypatch.setattr(coder, "_through", lambda texts: seen.extend(texts) or through(texts))
+    text = "One quick brœwn fox, straße  Ünïcödé 中文 <|endoftext|> it's 12\n zweï\ttions"
+    assert np.frombuffer(coder([text])[0], coder.kind).tolist() == coder.lib.encode(text, add_special_tokens=False).ids
+    assert {"One", ",", "<|endoftext|>"} <= set(seen) and not any(" quick" in t or " fox" in t for t in seen)
