@@ -270,7 +270,9 @@ def code_windows(spark, d):
     n = F.lit(90) + (F.col("s_suppkey") % 100).cast("int")
     body = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("call("), i.cast("string"), F.lit(", "), F.col("s_name"), F.lit(");")))
     text = F.array_join(F.concat(F.array(F.lit("```c")), body, F.array(F.lit("```"))), "\n")
-    return table(spark, d, "supplier").select("s_suppkey", F.explode(parsing.split_code(text, 2200)).alias("t")).select("s_suppkey", F.md5(F.col("t").cast("binary")).alias("text_md5"))
+    # A supplier's row is small and its code is not: dealt out evenly, else a file is one task.
+    rows = table(spark, d, "supplier").select("s_suppkey", "s_name").repartition(spark.sparkContext.defaultParallelism)
+    return rows.select("s_suppkey", F.explode(parsing.split_code(text, 2200)).alias("t")).select("s_suppkey", F.md5(F.col("t").cast("binary")).alias("text_md5"))
 
 
 @query("chunk_ids", f"WITH {CHUNKS_SQL} SELECT chunk_id, doc_id AS document_id, source AS title, 'prose' AS chunk_type, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM chunks")

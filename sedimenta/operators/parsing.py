@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import SPACE, clean_inline, squeeze_lines, trim_space
+from ..functions.text import SPACE, bind, clean_inline, squeeze_lines, trim_space
 
 # What marks lines up as titles, authorship, headings, contents and noise.
 TITLE = r"^\[(.+?)\]\((https?://[^)\s]+?pageId=(\d+))\)"
@@ -165,19 +165,18 @@ def split_prose(text: Column, target: int, overlap: int) -> Column:
 
 def split_table(text: Column, rows: int) -> Column:
     """The two header lines with each window of rows; a table of up to rows + 2 lines stays whole."""
-    all_ = lines(text)
-    parts = F.transform(F.sequence(F.lit(3), F.greatest(F.size(all_), F.lit(3)), F.lit(rows)), lambda i: F.array_join(F.concat(F.slice(all_, 1, 2), F.slice(all_, i, F.lit(rows))), "\n"))
-    return F.when(F.size(all_) <= rows + 2, F.array(text)).otherwise(parts)
+    parts = lambda all_: F.transform(F.sequence(F.lit(3), F.greatest(F.size(all_), F.lit(3)), F.lit(rows)), lambda i: F.array_join(F.concat(F.slice(all_, 1, 2), F.slice(all_, i, F.lit(rows))), "\n"))
+    return bind(text, lambda t: bind(lines(t), lambda all_: F.when(F.size(all_) <= rows + 2, F.array(t)).otherwise(parts(all_))))
 
 
 def split_code(text: Column, target: int, window: int = 80, overlap: int = 10) -> Column:
     """Overlapping windows of lines, fenced, of code over target characters."""
-    all_ = lines(text)
-    raw = lambda i: trim_space(F.array_join(F.slice(all_, i, F.lit(window)), "\n"))
     opened = lambda b: F.when(b.startswith("```"), b).otherwise(F.concat(F.lit("```\n"), b))
     fenced = lambda b: F.when(b.endswith("```"), b).otherwise(F.concat(b, F.lit("\n```")))
-    parts = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(all_) - overlap), F.lit(window - overlap)), lambda i: fenced(opened(raw(i))))
-    return F.when(F.length(text) <= target, F.array(text)).otherwise(parts)
+    part = lambda all_, i: bind(bind(trim_space(F.array_join(F.slice(all_, i, F.lit(window)), "\n")), opened), fenced)
+    # Text, lines and windows are each made once a row, however often they are looked at.
+    parts = lambda all_: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(all_) - overlap), F.lit(window - overlap)), lambda i: part(all_, i))
+    return bind(text, lambda t: F.when(F.length(t) <= target, F.array(t)).otherwise(bind(lines(t), parts)))
 
 
 def chunk(docs: DataFrame, options) -> DataFrame:

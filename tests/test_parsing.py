@@ -122,3 +122,19 @@ def test_c_language_joins_the_terms_only_with_others(spark):
 def test_line_breaks(spark):
     assert pieces(spark, "a\r\nb\x0bc\u2028d\n", parsing.lines) == ["a", "b", "c", "d"] and pieces(spark, "", parsing.lines) == []
     assert pieces(spark, " a\n\n\n\nb ", squeeze_lines) == "a\n\nb"
+
+
+def test_code_is_split_once_a_row(spark):
+    rows = spark.createDataFrame([("\n".join(["```c", *[f"call({i});" for i in range(200)], "```"]),), ("short",)], "text string")
+    out = rows.select(parsing.split_code(F.col("text"), 300, 80, 10).alias("parts"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    long, short = (r.parts for r in out.collect())
+    assert short == ["short"] and len(long) == 3 and long[0].startswith("```c\ncall(0);") and long[1].startswith("```\ncall(69);") and long[1].endswith("call(148);\n```") and long[2].endswith("call(199);\n```")
+
+
+def test_code_windows_deals_a_file_out(spark, tmp_path):
+    from sedimenta import catalog
+
+    spark.createDataFrame([(i, f"s{i}") for i in range(64)], "s_suppkey long, s_name string").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    made = catalog.queries()["code_windows"](spark, f"file://{tmp_path}")
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
