@@ -15,6 +15,7 @@ from .functions import entities as ent
 from .functions import scalar
 from .functions import text as txt
 from .operators import analysis, answer, dense, enrich, evaluate, fusion, graph, parsing, sparse
+from .operators.joins import join_small
 from .options import Options
 from .sources import files
 from .sources.scratch import written
@@ -304,9 +305,9 @@ QUERY_SQL = f"q AS (SELECT item_id AS qid, unnest({TOKENS_SQL.format('text')}) A
 SCORE_SQL = "s AS (SELECT qid, doc_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * l / a))) AS score FROM q JOIN tf USING (term) JOIN idf USING (term), st GROUP BY ALL)"
 
 
-def _docs(spark, d):
+def _docs(spark, d, *more):
     """Postings of the documents; an engine reads stored ones, so tokens are found once here too."""
-    return written(sparse.tokenised(table(spark, d, "documents"), "doc_id", F.col("text")), "postings")
+    return written(sparse.tokenised(table(spark, d, "documents"), "doc_id", F.col("text"), *more), "postings")
 
 
 def _questions(spark, d):
@@ -332,9 +333,9 @@ def bm25_baseline_topk(spark, d):
 
 @query("bm25_filtered_topk", f"WITH {_DOC_BM25}, {QUERY_SQL}, {SCORE_SQL} SELECT qid, s.doc_id, round(score, 4) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, s.doc_id)::INT AS rank FROM s JOIN documents x ON x.doc_id = s.doc_id WHERE score > 0 AND x.lang = ['en', 'fr', 'de', 'es'][qid % 4 + 1] QUALIFY rank <= 20")
 def bm25_filtered_topk(spark, d):
-    wanted = _questions(spark, d).select("qid", F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("qid") % 4 + 1).cast("int")).alias("lang"))
-    allowed = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "lang").join(wanted, "lang")
-    hits = sparse.bm25(_docs(spark, d), _questions(spark, d), OPTIONS.sparse_candidate_count, allowed=allowed, limit=OPTIONS.broadcast_rows)
+    wanted = F.element_at(F.array(*map(F.lit, ("en", "fr", "de", "es"))), (F.col("qid") % 4 + 1).cast("int"))
+    asked = _questions(spark, d).withColumn("must", F.array(F.array(wanted)))
+    hits = sparse.bm25(_docs(spark, d, F.array("lang").alias("tags")), asked, OPTIONS.sparse_candidate_count, limit=OPTIONS.broadcast_rows)
     return hits.select("qid", F.col("id").alias("doc_id"), F.round("score", 4).alias("score"), "rank")
 
 
@@ -346,19 +347,20 @@ snip AS (SELECT qid, doc_id, rank, source, CASE WHEN a > 0 THEN '...' ELSE '' EN
 
 
 def _best(spark, d):
-    return sparse.bm25(_docs(spark, d), _questions(spark, d), OPTIONS.final_context_count, limit=OPTIONS.broadcast_rows)
+    return written(sparse.bm25(_docs(spark, d), _questions(spark, d), OPTIONS.final_context_count, limit=OPTIONS.broadcast_rows), "best")
 
 
 @query("snippet", f"{_BEST_SQL}, {_SNIPPET_SQL} SELECT qid, doc_id, md5(snippet) AS snippet_md5 FROM snip")
 def snippet(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "text").join(_best(spark, d).select("qid", F.col("id").alias("doc_id")), "doc_id").join(_questions(spark, d), "qid")
+    # A few documents a question; the others aren't shuffled.
+    rows = join_small(table(spark, d, "documents").select("doc_id", "text"), _best(spark, d).select("qid", F.col("id").alias("doc_id")), "doc_id", OPTIONS.broadcast_rows).join(_questions(spark, d), "qid")
     return rows.select("qid", "doc_id", F.md5(txt.snippet(F.col("text"), F.col("question")).cast("binary")).alias("snippet_md5"))
 
 
 @query("baseline_answer", f"{_BEST_SQL}, {_SNIPPET_SQL} SELECT qid, md5(trim('Запрос: ' || any_value(text) || E'\\nРежим: BM25 baseline без LLM\\nЕдиница поиска: целый документ\\n\\nНайденные документы:\\n\\n' || string_agg(rank || '. ' || source || chr(10) || snippet || chr(10) || 'Источник: ' || source || chr(10), chr(10) ORDER BY rank), E' \\n')) AS answer_md5 FROM snip JOIN benchmark ON item_id = qid GROUP BY qid")
 def baseline_answer(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("title"), "text", F.col("source").alias("source_url"))
-    out = answer.baseline(_questions(spark, d), _best(spark, d), docs)
+    out = answer.baseline(_questions(spark, d), _best(spark, d), docs, OPTIONS.broadcast_rows)
     return out.select("qid", F.md5(F.col("answer").cast("binary")).alias("answer_md5"))
 
 

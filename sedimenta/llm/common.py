@@ -10,25 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.blocks import runs
+from ..operators.blocks import BATCH_BYTES, runs, small_batches
 from ..sources.scratch import discard_scratch, scratch, shared_dir, tidied, written
 
-__all__ = ["discard_scratch", "runs", "scratch", "shared_dir", "tidied", "written"]
+__all__ = ["BATCH_BYTES", "discard_scratch", "runs", "scratch", "shared_dir", "small_batches", "tidied", "written"]
 
-#: Rows and text bytes that one step of a Python operator holds at once.
+#: Rows that one step of a Python operator holds at once, next to BATCH_BYTES of text.
 BATCH_ROWS = 1024
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """df, for Python: the session's Arrow batches are brought down to BATCH_BYTES, as both the JVM and Python hold whole
-    ones. A session that has smaller ones keeps them."""
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    held = conf.get(name, None)
-    digits = "".join(c for c in held or "" if c.isdigit())
-    if digits and (not held.strip().lower().rstrip("b").isdigit() or int(digits) > BATCH_BYTES):
-        conf.set(name, str(BATCH_BYTES))
-    return df
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list[list]], list[list]]], schema: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, trim_space
+from .joins import join_small
 
 # Sentences and labels of answers.
 REFUSAL = "В доступном контексте нет данных, достаточных для точного ответа."
@@ -44,9 +45,10 @@ def prompt(queries: DataFrame, ranked: DataFrame, facts: DataFrame) -> DataFrame
     return rows.select("qid", F.concat(F.lit("Запрос пользователя: "), "question", F.lit("\n" + REWRITTEN), "rewritten_query", F.lit("\n" + MODE), "query_mode", F.lit("\nФильтры: "), F.to_json("filters"), F.lit("\n\n"), graph, F.lit("Контекст:\n\n"), F.array_join("listed", "\n\n")).alias("prompt"))
 
 
-def baseline(queries: DataFrame, hits: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, answer) of the document baseline: hits (qid, id, rank) as titles and snippets."""
-    rows = docs.select("id", "title", "text", "source_url").join(hits.select("qid", "id", "rank"), "id").join(queries.select("qid", "question"), "qid")
+def baseline(queries: DataFrame, hits: DataFrame, docs: DataFrame, limit: int = 200_000) -> DataFrame:
+    """(qid, answer) of the document baseline: hits (qid, id, rank), written, as titles and snippets. The hits come to the
+    documents if they are at most `limit`."""
+    rows = join_small(docs.select("id", "title", "text", "source_url"), hits.select("qid", "id", "rank"), "id", limit).join(queries.select("qid", "question"), "qid")
     entry = F.concat(F.col("rank").cast("string"), F.lit(". "), "title", F.lit("\n"), snippet(F.col("text"), F.col("question")), F.lit("\n" + SOURCE), "source_url", F.lit("\n"))
     found = queries.join(_listed(rows, entry), "qid", "left")
     head = F.concat(F.lit("Запрос: "), "question", F.lit("\n" + "\n".join(BASELINE_HEAD) + "\n"))
