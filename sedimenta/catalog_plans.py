@@ -8,6 +8,7 @@ from . import catalog as c
 from .catalog import CORPUS, OPTIONS, query, table
 from .functions import entities as ent
 from .operators import analysis, answer, dense, enrich, evaluate, fusion, graph, sparse
+from .operators.joins import join_small
 from .plans import engine
 from .sources import store
 from .sources.scratch import written
@@ -76,9 +77,10 @@ def _analysed(spark, d):
 
 def _hits(spark, d):
     chunks, asked, embedder = written(c._enriched(spark, d), "chunks"), _analysed(spark, d), dense.HashEmbedder()
-    vectors = written(chunks.select("chunk_id", dense.embed(F.col("text"), embedder).alias("v")), "vectors")
-    postings = written(sparse.tokenised(chunks, "chunk_id", enrich.search_text()), "postings")
-    tables = [written(make(chunks), f"graph-{make.__name__}") for make in (graph.nodes, graph.edges, graph.links)]
+    # Vectors and the graph are read once each, so they aren't written; postings are read three times.
+    vectors = chunks.select("chunk_id", dense.embed(F.col("text"), embedder).alias("v"), enrich.tags().alias("tags"))
+    postings = written(sparse.tokenised(chunks, "chunk_id", enrich.search_text(), enrich.tags().alias("tags")), "postings")
+    tables = graph.nodes(chunks), graph.edges(chunks), graph.links(chunks)
     return chunks, asked, written(engine.candidates(asked, chunks, vectors, postings, *tables, embedder, OPTIONS, "hybrid"), "hits")
 
 
@@ -112,7 +114,7 @@ _BOOSTS = f"bo AS (SELECT qid, chunk_id, sum(least(n, 3) * w)::DOUBLE AS boost F
 @query("entity_boost", f"{_ALL}, {_BOOSTS} SELECT DISTINCT h.qid, h.chunk_id, round(coalesce(boost, 0), 6) AS boost FROM hits h LEFT JOIN bo ON bo.qid = h.qid AND bo.chunk_id = h.chunk_id")
 def entity_boost(spark, d):
     chunks, asked, hits = _hits(spark, d)
-    rows = hits.select("qid", "chunk_id").distinct().join(chunks.select("chunk_id", "metadata"), "chunk_id").join(asked.select("qid", "entities"), "qid")
+    rows = join_small(chunks.select("chunk_id", "metadata"), hits.select("qid", "chunk_id").distinct(), "chunk_id", OPTIONS.broadcast_rows).join(asked.select("qid", "entities"), "qid")
     return rows.select("qid", "chunk_id", F.round(fusion.overlap_boost(F.col("metadata"), F.col("entities")), 6).alias("boost"))
 
 

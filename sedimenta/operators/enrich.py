@@ -29,6 +29,20 @@ def search_text():
     return F.concat_ws("\n", F.col("title"), F.array_join("heading_path", " "), F.col("text"), F.array_join("metadata.api_symbols", " "), F.array_join("metadata.entity_terms", " "))
 
 
+def tags(metadata: str = "metadata"):
+    """The values of a chunk's fields as field:value, by which filters admit it."""
+    return F.flatten(F.array(*[_named(F.col(f"{metadata}.{f}"), f) for f in FIELDS]))
+
+
+def must(filters: str = "filters"):
+    """Filters as lists of tags; a chunk needs one of each. Fields that name nothing ask for nothing."""
+    return F.filter(F.array(*[_named(F.col(f"{filters}.{f}"), f) for f in FIELDS]), lambda x: F.size(x) > 0)
+
+
+def _named(values, field: str):
+    return F.transform(F.coalesce(values, F.expr("cast(array() as array<string>)")), lambda v: F.concat(F.lit(f"{field}:"), v))
+
+
 def payload(chunks: DataFrame) -> DataFrame:
     """Chunks with their metadata as columns, as a vector store keeps them."""
     return chunks.select(*[c for c in chunks.columns if c != "metadata"], *[f"metadata.{f}" for f in chunks.schema["metadata"].dataType.names if f not in chunks.columns])

@@ -75,7 +75,7 @@ def overlap_rerank(query: Column, text: Column) -> Column:
 def fuse(hits: DataFrame, queries: DataFrame, chunks: DataFrame, options, retrieval: str = "hybrid", rerank=overlap_rerank) -> DataFrame:
     """(qid, chunk_id, dense_score, sparse_score, graph_score, fused_score, rerank_score, rank, final) of the reranked hits.
 
-    hits: (qid, chunk_id, source, rank, score); a hit whose chunk is missing keeps its rank but goes. queries is analysed.
+    hits: (qid, chunk_id, source, rank, score), written, as they are read twice; a hit whose chunk is missing keeps its rank but goes. queries is analysed.
     Candidates are gathered by one union and grouping. Filters apply after fusion, before the cut. Ties go by dense
     rank, then sparse, then graph; those of reranking by the order before it. rerank gives a Column of two."""
     q = queries.select("qid", "rewritten_query", "entities", "filters", "query_mode", is_reference(F.col("rewritten_query"), F.col("entities")).alias("reference"))
@@ -84,8 +84,8 @@ def fuse(hits: DataFrame, queries: DataFrame, chunks: DataFrame, options, retrie
     one = one.withColumn("part", contributions(F.col("source"), F.col("rank"), F.col("score"), mode, F.col("reference"), graph_mode(mode, F.lit(retrieval)), options.graph_fusion_weight))
     of = lambda s, c: F.max(F.when(F.col("source") == s, F.col(c)))
     fused = one.groupBy("qid", "chunk_id").agg(*[F.coalesce(of(s, "score"), F.lit(0.0)).alias(f"{s}_score") for s in ("dense", "sparse", "graph")], F.sum("part").alias("fused_score"), F.coalesce(of("dense", "rank"), of("sparse", "rank") + 1_000_000, of("graph", "rank") + 2_000_000).alias("met"))
-    # Candidates are few a query; the chunks come to them.
-    rows = chunks.select("chunk_id", "title", "heading_path", "text", "chunk_type", "metadata", "source_url").join(fused, "chunk_id").join(q.drop("query_mode"), "qid")
+    # Candidates are few a query; they come to the chunks.
+    rows = join_small(chunks.select("chunk_id", "title", "heading_path", "text", "chunk_type", "metadata", "source_url"), fused, "chunk_id", options.broadcast_rows).join(q.drop("query_mode"), "qid")
     if retrieval == "hybrid":
         boost = overlap_boost(F.col("metadata"), F.col("entities")) + F.when(F.col("reference"), reference_boost(F.col("title"), F.col("heading_path"), F.col("text"), F.col("chunk_type"), F.col("entities"), F.col("rewritten_query"))).otherwise(0.0)
         rows = rows.withColumn("fused_score", F.col("fused_score") + boost)

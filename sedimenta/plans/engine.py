@@ -32,40 +32,21 @@ class NotFound(LookupError):
     """No such question set or run."""
 
 
-def admitted(filters: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """(g, chunk_id): the chunks that each filter admits. filters: (g, filters), one row a distinct filter; filters that
-    name nothing admit all and give no rows.
-
-    A chunk passes if it shares a value in every field that the filter names, so tags join tags and fields are counted;
-    no filter meets a chunk that it shares nothing with."""
-    tags = lambda rows, col, *keep: rows.select(*keep, F.explode(F.flatten(F.array(*[_tags(F.col(f"{col}.{f}"), f) for f in FIELDS]))).alias("tag"))
-    named = filters.select("g", "filters", sum(((F.size(f"filters.{f}") > 0).cast("int") for f in FIELDS), F.lit(0)).alias("fields"))
-    met = join_small(tags(chunks, "metadata", "chunk_id"), tags(named, "filters", "g", "fields"), "tag", limit)
-    return met.groupBy("g", "chunk_id", "fields").agg(F.count_distinct("tag.field").alias("n")).where("n = fields").select("g", "chunk_id")
-
-
-def _tags(values, field: str):
-    return F.transform(values, lambda v: F.struct(F.lit(field).alias("field"), v.alias("value")))
+def _tagged(rows: DataFrame, chunks: DataFrame) -> DataFrame:
+    return rows if "tags" in rows.columns else rows.join(chunks.select(F.col("chunk_id").alias("id"), enrich.tags().alias("tags")), "id", "left")
 
 
 def candidates(queries: DataFrame, chunks: DataFrame, vectors: DataFrame | None, postings: DataFrame | None, nodes: DataFrame, edges: DataFrame, links: DataFrame, embedder, options: Options, retrieval: str) -> DataFrame:
     """(qid, chunk_id, source, rank, score) of the lists that the retrieval mode asks for. Dense and sparse lists are
-    filtered before their cut, the graph's isn't. Queries with equal filters share what these admit; those without are
-    searched against all, once. vectors: (chunk_id, v); postings: tokenised() by chunk_id."""
-    parts = []
-    groups = queries.select("qid", F.when(sum((F.size(f"filters.{f}") for f in FIELDS), F.lit(0)) > 0, F.to_json("filters")).otherwise("").alias("g"), "filters")
-    if retrieval != "graph":
-        fits = admitted(groups.where("g <> ''").select("g", "filters").dropDuplicates(["g"]), chunks.select("chunk_id", "metadata"), options.broadcast_rows)
-        fits = written(fits, "admitted")
+    filtered before their cut, the graph's isn't. vectors: (chunk_id, v[, tags]); postings: tokenised() by chunk_id[, tags].
+    Where they lack the chunks' tags these are joined."""
+    parts, queries = [], queries.withColumn("must", enrich.must())
     if retrieval in ("dense", "hybrid"):
-        asked = queries.select("qid", dense.embed(F.col("rewritten_query"), embedder).alias("v")).join(groups.select("qid", "g"), "qid")
-        rows = vectors.select(F.col("chunk_id").alias("id"), "v")
-        rows = rows.withColumn("g", F.lit("")).union(rows.join(fits, F.col("id") == F.col("chunk_id")).select("id", "v", "g"))
-        hits = dense.cosine_topk(rows, asked, options.dense_candidate_count, group=True)
+        asked = queries.select("qid", dense.embed(F.col("rewritten_query"), embedder).alias("v"), "must")
+        hits = dense.search(_tagged(vectors.withColumnRenamed("chunk_id", "id"), chunks), asked, options.dense_candidate_count)
         parts.append(hits.select("qid", F.col("id").alias("chunk_id"), F.lit("dense").alias("source"), "rank", "score"))
     if retrieval in ("bm25", "hybrid"):
-        allowed = groups.where("g <> ''").select("qid", "g").join(fits, "g").select("qid", F.col("chunk_id").alias("id"))
-        hits = sparse.bm25(postings, queries, options.sparse_candidate_count, "rewritten_query", allowed, options.broadcast_rows, groups.where("g = ''"))
+        hits = sparse.bm25(_tagged(postings, chunks), queries, options.sparse_candidate_count, "rewritten_query", limit=options.broadcast_rows)
         parts.append(hits.select("qid", F.col("id").alias("chunk_id"), F.lit("sparse").alias("source"), "rank", "score"))
     if retrieval in ("graph", "hybrid") and options.graph_enabled:
         asked = queries.withColumn("query_mode", fusion.graph_mode(F.col("query_mode"), F.lit(retrieval)))
@@ -98,7 +79,7 @@ class Engine:
             docs = change.replace("documents", docs)
             chunks = change.replace("chunks", enrich.enrich(parsing.chunk(docs, self.options), self.dictionary))
             change.upsert("vectors", self._vectors(chunks), "id")
-            change.replace("postings", sparse.tokenised(chunks, "chunk_id", enrich.search_text()))
+            change.replace("postings", sparse.tokenised(chunks, "chunk_id", enrich.search_text(), enrich.tags().alias("tags")))
             self._put_graph(change, chunks)
             kept = change.replace("manifest", files.manifest(docs, chunks, self.embedder.dims))
         kept.write.mode("overwrite").json(f"{self.home}/manifest")
@@ -188,7 +169,7 @@ class Engine:
         vectors = self._table("vectors").select("chunk_id", "v") if retrieval in ("dense", "hybrid") else None
         postings = self._table("postings") if retrieval in ("bm25", "hybrid") else None
         # Vectors of chunks that are gone stay in their table; a hit without a chunk goes.
-        hits = candidates(asked, chunks, vectors, postings, nodes, edges, links, self.embedder, self.options, retrieval)
+        hits = written(candidates(asked, chunks, vectors, postings, nodes, edges, links, self.embedder, self.options, retrieval), "hits")
         ranked = fusion.fuse(hits, asked, chunks, self.options, retrieval, self.reranker)
         by_graph = asked.withColumn("query_mode", fusion.graph_mode(F.col("query_mode"), F.lit(retrieval)))
         facts = graph.facts(by_graph, nodes, edges, self.options) if use_graph else self.spark.createDataFrame([], "qid long, facts array<string>")
@@ -211,12 +192,13 @@ class Engine:
 
     def _baseline(self, queries: DataFrame) -> DataFrame:
         docs = self._table("documents").select(F.col("document_id").alias("id"), "title", F.col("clean_markdown").alias("text"), "source_url")
-        hits = sparse.bm25(sparse.tokenised(docs, "id", F.concat_ws("\n\n", clean_inline(F.col("title")), "text")), queries, self.options.final_context_count, limit=self.options.broadcast_rows)
+        postings = written(sparse.tokenised(docs, "id", F.concat_ws("\n\n", clean_inline(F.col("title")), "text")), "postings")
+        hits = written(sparse.bm25(postings, queries, self.options.final_context_count, limit=self.options.broadcast_rows), "best")
         zero, none = F.lit(0.0), F.expr("cast(array() as array<string>)")
-        ranked = docs.join(hits, "id").select("qid", F.col("id").alias("chunk_id"), "title", none.alias("heading_path"), "text", "source_url", F.lit("document").alias("chunk_type"), zero.alias("dense_score"), F.col("score").alias("sparse_score"), zero.alias("graph_score"), F.col("score").alias("fused_score"), zero.alias("rerank_score"), "rank", F.lit(True).alias("final"))
+        ranked = join_small(docs, hits, "id", self.options.broadcast_rows).select("qid", F.col("id").alias("chunk_id"), "title", none.alias("heading_path"), "text", "source_url", F.lit("document").alias("chunk_type"), zero.alias("dense_score"), F.col("score").alias("sparse_score"), zero.alias("graph_score"), F.col("score").alias("fused_score"), zero.alias("rerank_score"), "rank", F.lit(True).alias("final"))
         asked = queries.select("qid", "question", F.col("question").alias("rewritten_query"), F.struct(*[none.alias(f) for f in FIELDS]).alias("filters"), F.lit("classic").alias("query_mode"), F.lit(None).cast("double").alias("routing_confidence"), F.lit(None).cast("string").alias("routing_reason"))
         facts = self.spark.createDataFrame([], "qid long, facts array<string>")
-        return answer.response(asked, answer.baseline(queries, hits, docs), ranked, facts).withColumn("retrieval_mode", F.lit("bm25_baseline"))
+        return answer.response(asked, answer.baseline(queries, hits, docs, self.options.broadcast_rows), ranked, facts).withColumn("retrieval_mode", F.lit("bm25_baseline"))
 
     def evaluate(self, set_id: str, retrieval: str = "hybrid") -> str:
         """Runs a question set as one batch and saves the run; gives its id. Latency is the batch's time a case."""
