@@ -3,11 +3,12 @@
 import itertools
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, bind, clean_inline, squeeze_lines, trim_space
+from .blocks import small_batches
 
 # What marks lines up as titles, authorship, headings, contents and noise.
 TITLE = r"^\[(.+?)\]\((https?://[^)\s]+?pageId=(\d+))\)"
@@ -23,6 +24,8 @@ FUNCTION_TITLES = ("функции для работы с объектами", "
 LONG_LEAD, SHORT_LEAD = 120, 100
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 
+#: Pages whose blocks are Python objects at once.
+SCANNED = 64
 BLOCKS = "array<struct<kind: string, heading_path: array<string>, text: string, lead: string>>"
 
 
@@ -133,13 +136,19 @@ def scan_functions(markdown: str) -> list[tuple[str, list[str], str, str]]:
     return found
 
 
-def _scan(markdown: pd.Series, reference: pd.Series) -> pd.Series:
-    names = ("kind", "heading_path", "text", "lead")
-    return pd.Series([[dict(zip(names, b, strict=True)) for b in (scan_functions(m or "") if r else []) + scan_blocks(m or "")] for m, r in zip(markdown, reference, strict=True)])
+def _scan(markdown: pa.Array, reference: pa.Array) -> pa.Array:
+    """Blocks of each page, a few pages at a time: Python objects take many times the text they hold."""
+    names, texts = ("kind", "heading_path", "text", "lead"), pa.list_(pa.string())
+    kind = pa.list_(pa.struct([(n, texts if n == "heading_path" else pa.string()) for n in names]))
+    made = [pa.array([], kind)]
+    for at in range(0, len(markdown), SCANNED):
+        some = zip(markdown.slice(at, SCANNED).to_pylist(), reference.slice(at, SCANNED).to_pylist(), strict=True)
+        made.append(pa.array([[dict(zip(names, b, strict=True)) for b in (scan_functions(m or "") if r else []) + scan_blocks(m or "")] for m, r in some], kind))
+    return pa.concat_arrays(made)
 
 
 def _blocks(markdown: str, reference: Column) -> Column:
-    return F.pandas_udf(_scan, BLOCKS)(markdown, reference)
+    return F.arrow_udf(_scan, BLOCKS)(markdown, reference)
 
 
 def is_function_page(title: Column) -> Column:
@@ -182,9 +191,9 @@ def split_code(text: Column, target: int, window: int = 80, overlap: int = 10) -
 def chunk(docs: DataFrame, options) -> DataFrame:
     """(chunk_id, document_id, page_id, source_url, title, heading_path, text, chunk_type) of cleaned documents.
 
-    Blocks are scanned in Python once a row; splitting and numbering stay in the row, so nothing is shuffled. Function
-    pages give their reference blocks first and then the ordinary ones too."""
-    rows = docs.withColumn("blocks", _blocks("clean_markdown", F.coalesce(is_function_page(F.col("title")), F.lit(False))))
+    Blocks are scanned in Python once a row, a few MB of text at a time; splitting and numbering stay in the row, so nothing
+    is shuffled. Function pages give their reference blocks first and then the ordinary ones too."""
+    rows = small_batches(docs).withColumn("blocks", _blocks("clean_markdown", F.coalesce(is_function_page(F.col("title")), F.lit(False))))
 
     def pieces(b):
         table = F.transform(split_table(b["text"], options.table_row_window), lambda t: F.when(b["lead"] == "", t).otherwise(trim_space(F.concat(b["lead"], F.lit("\n\n"), t))))

@@ -138,3 +138,18 @@ def test_code_windows_deals_a_file_out(spark, tmp_path):
     spark.createDataFrame([(i, f"s{i}") for i in range(64)], "s_suppkey long, s_name string").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
     made = catalog.queries()["code_windows"](spark, f"file://{tmp_path}")
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_python_gets_a_few_mb_of_documents_at_once(spark):
+    import pandas as pd
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(1 << 30))
+    try:
+        docs = spark.range(64, numPartitions=1).select(F.col("id").alias("document_id"), F.lit("p").alias("page_id"), F.lit("u").alias("source_url"), F.lit("t").alias("title"), F.repeat(F.lit("word "), 100_000).alias("clean_markdown"))
+        assert parsing.chunk(docs, Options()).select("document_id").distinct().count() == 64
+        size = F.pandas_udf(lambda t: pd.Series([len(t)] * len(t)), "long")
+        assert docs.select(size("clean_markdown").alias("n")).agg(F.max("n")).first()[0] <= 16
+    finally:
+        spark.conf.set(name, held)
